@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, repetition, sharding, simhash
 
-QUERIES = {"op1_differencing": sharding.op1_differencing, "op6_mixing": mixing.op6_mixing}
+QUERIES = {
+    "op1_differencing": sharding.op1_differencing,
+    "op4_repetition": repetition.op4_repetition,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_simhash": simhash.op7_simhash,
+}
 ORACLES = {"op6_mixing": mixing.OP6_SQL}
