@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, repetition, sharding, simhash
+from . import langid, mixing, repetition, sharding, simhash
 
 QUERIES = {
     "op1_differencing": sharding.op1_differencing,
     "op4_repetition": repetition.op4_repetition,
+    "op5_centroids": langid.op5_centroids,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
 }

@@ -131,7 +131,7 @@ def _dup_lines(block: Block, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, least: int = 8, max_covered: float = 0.2, max_repeat: int = 64) -> DataFrame:
+def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, least: int = 5, max_covered: float = 0.3, max_repeat: int = 64) -> DataFrame:
     """One row for each row of docs: `id`, the counts of `repetition`, `repeats_failed`.
 
     A text fails if repeats of `least` words or more cover over `max_covered` of its words or one is longer than `max_repeat`
