@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Block, slices, table
 
@@ -172,7 +173,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
                 _, _, rejected = held.value.predict(part.column(part.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rejected)], [*names, "__lang_rejected"])
 
-    return docs.mapInArrow(run, docs.schema.add("__lang_rejected", "boolean"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang_rejected", T.BooleanType())]))
 
 
 def held_out(id_col: str = "doc_id"):

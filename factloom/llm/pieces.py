@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Block, joined, ragged, slices, table
 from .wordpool import WordPool
@@ -377,8 +378,8 @@ def with_pieces(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
                     arrays.append(pa.array(pieces.decode(ids, at), pa.string(), mask=null))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = plain.schema.add(ids_col, "array<int>")
-    return plain.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *more]))
 
 
 def public_model() -> bytes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, repetition, sharding, simhash
+from . import langid, mixing, pieces, pii, repetition, sharding, simhash, tokenfile
 
 QUERIES = {
     "op1_differencing": sharding.op1_differencing,
@@ -10,5 +10,8 @@ QUERIES = {
     "op5_centroids": langid.op5_centroids,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_field": pii.op8_field,
+    "op9_direct": tokenfile.op9_direct,
+    "op10_pieces": pieces.op10_pieces,
 }
 ORACLES = {"op6_mixing": mixing.OP6_SQL}
