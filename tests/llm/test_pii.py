@@ -71,7 +71,7 @@ def test_viterbi_is_the_best_path():
 def test_field_adds_spans_and_keeps_the_patterns():
     items = ["please call (212) 555-0187 today", "contact mara.k(at)mail.example.org today", "nothing of this at all", "paid with 4111111111111111 here", None, "", "é ring (212) 555-0187 now"]
     found = pii.all_spans(pii.trained(), pa.array(items))
-    assert [pii.listed(e) for _, e in found] == ["phone:12:26", "email:8:35", "", "card:10:26", "", "", "phone:7:21"]
+    assert [pii.listed(e) for _, e in found] == ["phone:12:26", "email:8:34", "", "card:10:26", "", "", "phone:7:21"]
     assert [pii.listed(b) for b, _ in found] == ["", "", "", "card:10:26", "", "", ""]
     assert pii.redact(items[0], found[0][1]) == "please call [phone] today"
     for t in ITEMS + [x for x in texts() if x]:
