@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, joined, ragged, slices, table
+from .common import Block, ragged, slices, table
 from .wordpool import WordPool
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -290,7 +290,7 @@ class PieceModel:
         edge[1:] |= apart
         edge[1:n] |= space[1:] & ~space[:-1]
         cut = np.flatnonzero(edge)
-        ids, counts = pool.code(joined(block.buf, np.ones(n, bool), cut[:-1], cut[1:]))
+        ids, counts = pool.code(block.buf, cut[:-1], cut[1:])
         return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(cut[:-1], block.off)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
@@ -369,7 +369,7 @@ def with_pieces(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pool = _model(held.value)
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 column = part.column(part.schema.get_field_index(text_col))
                 ids, at = pieces.encode(column, pool)
                 null = np.asarray(pc.is_null(column))

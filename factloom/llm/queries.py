@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pieces, pii, repetition, sharding, simhash, tokenfile
+from . import langid, mixing, pieces, pii, repeats, repetition, sharding, simhash, tokenfile, topk
 
 QUERIES = {
     "op1_differencing": sharding.op1_differencing,
+    "op2_nra": topk.op2_nra,
+    "op3_suffix_levels": repeats.op3_suffix_levels,
     "op4_repetition": repetition.op4_repetition,
     "op5_centroids": langid.op5_centroids,
     "op6_mixing": mixing.op6_mixing,
@@ -14,4 +16,5 @@ QUERIES = {
     "op9_direct": tokenfile.op9_direct,
     "op10_pieces": pieces.op10_pieces,
 }
-ORACLES = {"op6_mixing": mixing.OP6_SQL}
+#: The other queries are tested against brute force in tests/llm.
+ORACLES = {"op2_nra": topk.OP2_SQL, "op6_mixing": mixing.OP6_SQL}

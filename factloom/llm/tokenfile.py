@@ -15,13 +15,14 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Block, joined, slices, store, table
+from .common import Block, slices, store, table
 from .wordpool import WordPool
 
 MAGIC = b"DAC1"
@@ -122,9 +123,9 @@ def _pool(source: str) -> WordPool:
         tokenizer = Tokenizer.from_str(source)
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            ids = [e.ids for a in range(0, len(words), 2000) for e in tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 2000]], add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
         _TOKENIZERS.clear()
         _TOKENIZERS[key] = WordPool(encode)
@@ -137,8 +138,8 @@ def encode_texts(pool: WordPool, column: pa.Array, end_id: int | None) -> tuple[
     The tokenizer must split at `[\\x20\\x09-\\x0D]` and drop it, as this one does: a text's ids are then those of its words.
     """
     block = Block(column)
-    starts, ends, first, solid = block.words()
-    ids, counts = pool.code(joined(block.buf, solid, starts, ends))
+    starts, ends, first, _ = block.words()
+    ids, counts = pool.code(block.buf, starts, ends)
     before = np.concatenate([[0], np.cumsum(counts)])[first]
     if end_id is None:
         return ids, before
@@ -165,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool(vocabulary.value)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 ids, at = encode_texts(pool, part.column(1), end_id)
                 narrow = not len(ids) or int(ids.max()) <= np.iinfo(kind).max
                 data = ids.astype(kind if narrow else np.uint32)
