@@ -27,7 +27,7 @@ from .wordpool import WordPool
 
 MAGIC = b"DAC1"
 #: Ids of a segment, about; a longer document makes a longer segment.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 
 def pack(doc_ids: list, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -128,7 +128,7 @@ def _pool(source: str) -> WordPool:
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordPool(encode)
+        _TOKENIZERS[key] = WordPool(encode, 800_000)
     return _TOKENIZERS[key]
 
 
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool(vocabulary.value)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 ids, at = encode_texts(pool, part.column(1), end_id)
                 narrow = not len(ids) or int(ids.max()) <= np.iinfo(kind).max
                 data = ids.astype(kind if narrow else np.uint32)
