@@ -27,7 +27,7 @@ from .wordpool import WordPool
 
 MAGIC = b"DAC1"
 #: Ids of a segment, about; a longer document makes a longer segment.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 
 
 def pack(doc_ids: list, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -128,7 +128,7 @@ def _pool(source: str) -> WordPool:
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordPool(encode, 800_000)
+        _TOKENIZERS[key] = WordPool(encode, 1_000_000)
     return _TOKENIZERS[key]
 
 

@@ -28,7 +28,7 @@ def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each range of bytes."""
-    values, powers, inverse = _constants(seed, 1 << max(20, int(len(buf)).bit_length()))
+    values, powers, inverse = _constants(seed, 1 << max(19, int(len(buf)).bit_length()))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(values[buf] * powers[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -80,7 +80,7 @@ class WordPool:
         if 2 * (self.n + m) > len(self.row):
             keep = np.flatnonzero(self.row >= 0)
             old = self.first[keep], self.second[keep], self.row[keep]
-            slots = 1 << (4 * (self.n + m)).bit_length()
+            slots = 1 << (2 * (self.n + m)).bit_length()
             self.first, self.second, self.row = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
             self._place(*old)
         grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
