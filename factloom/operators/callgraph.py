@@ -19,9 +19,10 @@ def resolved_calls(calls: DataFrame, functions: DataFrame, normalize=lambda c: c
 def callees_first(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """`root, id, ordinal`: in each group (`root, id, position`), again and again the first member by position none of whose
     callees in the group waits; in a cycle, the first member. pairs: `caller, callee`."""
-    inner = members.select("root", F.col("id").alias("caller")).join(pairs, "caller").join(members.select("root", F.col("id").alias("callee")), ["root", "callee"]).select("root", "caller", "callee")
-    own = members.select("root", "id", "position", F.lit(None).cast(dict(members.dtypes)["id"]).alias("callee"))
-    rows = own.union(inner.join(members, (inner["root"] == members["root"]) & (inner["caller"] == members["id"])).select(inner["root"], members["id"], "position", "callee"))
+    x, y = members.alias("x"), members.select(F.col("root").alias("r"), F.col("id").alias("callee"))
+    inner = x.join(pairs, F.col("x.id") == F.col("caller")).select("x.root", "x.id", "x.position", F.col("callee").alias("c"))
+    inner = inner.join(y, (F.col("root") == F.col("r")) & (F.col("c") == F.col("callee"))).select("root", "id", "position", "callee")
+    rows = members.select("root", "id", "position", F.lit(None).cast(dict(members.dtypes)["id"]).alias("callee")).union(inner)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf[pdf["callee"].isna()].sort_values("position", kind="stable")

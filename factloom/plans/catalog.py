@@ -526,3 +526,34 @@ def union_ranked(spark, sf_dir):
 def treemap(spark, sf_dir):
     sizes = read(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").alias("weight"))
     return reduction.treemaps(sizes, "p_brand", "p_type", "weight")
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, name, build):
+    import uuid
+
+    from ..streaming import rates
+
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/factloom-streams"
+    return rates.run_available(build(stream), f"{name}_{uuid.uuid4().hex}", f"{root}/stream-{uuid.uuid4().hex}")
+
+
+@query("stream_density", f"SELECT user_id, weight, effects, complete FROM ({_DENSITY})")
+def stream_density(spark, sf_dir):
+    from ..streaming import rates
+
+    kind = F.lit("none")
+    for k, v in _KINDS.items():
+        kind = F.when(F.col("event_type") == k, v).otherwise(kind)
+    return _streamed(spark, sf_dir, "density", lambda s: rates.stream_density(s.withColumn("kind", kind), "user_id", "kind", quality.WEIGHTS))
+
+
+@query("stream_beliefs", "SELECT user_id AS callee, count(*) AS sites, count(*) FILTER (event_type <> 'error') AS checked FROM events GROUP BY user_id")
+def stream_beliefs(spark, sf_dir):
+    from ..streaming import rates
+
+    return _streamed(spark, sf_dir, "beliefs", lambda s: rates.stream_beliefs(s.withColumn("ok", F.col("event_type") != "error"), "user_id", "ok"))
