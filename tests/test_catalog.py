@@ -24,7 +24,7 @@ def duck():
 
 def plain(df):
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
