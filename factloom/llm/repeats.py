@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, ragged, slices, store, table
+from .common import Block, ragged, slices, store, table, trimmed
 
 WINDOW = 100
 GRAM = 24
@@ -124,7 +124,7 @@ def _spans(ids, s, e) -> pa.RecordBatch:
     return _found(-1 - (ids & 0xFFFF), s, ids, e)
 
 
-def _text_contexts(window: int, gram: int, piece: int = 4 << 20):
+def _text_contexts(window: int, gram: int, piece: int = (1 << 20) - 128):
     """Contexts of whole texts. Of those equal within a part of a batch only the earliest goes on; a hot one is one row a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +307,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, batch: int = BATCH) -> DataFrame:
     """`id, spans`: of each document of docs (`id` long, unique; `text`) that has any, the byte spans [s, e) to remove, by start;
     they may overlap or touch."""
-    rows = docs.mapInArrow(_text_contexts(window, gram), _FOUND)
-    settled = store(rows.repartition("h").sortWithinPartitions("h", "c", "id", "p").mapInArrow(_settle(window), _FOUND), "repeat-settled")
+    rows = docs.mapInArrow(trimmed(_text_contexts(window, gram)), _FOUND)
+    settled = store(rows.repartition("h").sortWithinPartitions("h", "c", "id", "p").mapInArrow(trimmed(_settle(window)), _FOUND), "repeat-settled")
     spans = settled.filter("h < 0").select("id", F.col("c").alias("s"), F.col("p").alias("e"))
     need = settled.filter("h >= 0").select("h", "id", "p")
     n = need.count()
@@ -316,21 +316,23 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
         common = need.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
         asked = need.join(common, "h", "left").groupBy("id").agg(F.collect_list(F.struct("p", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
         shards = max(1, -(-n // shard))
-        pieces = docs.select("id", F.col("text").cast("binary").alias("text")).join(asked, "id").mapInArrow(_fetch(window, shards), "shard int, id long, at long, n int, bytes binary")
-        matched = store(pieces.repartition("shard").sortWithinPartitions("shard", "id", "at").mapInArrow(_match(window, batch), _FOUND), "repeat-matched")
+        pieces = docs.select("id", F.col("text").cast("binary").alias("text")).join(asked, "id").mapInArrow(trimmed(_fetch(window, shards)), "shard int, id long, at long, n int, bytes binary")
+        matched = store(pieces.repartition("shard").sortWithinPartitions("shard", "id", "at").mapInArrow(trimmed(_match(window, batch)), _FOUND), "repeat-matched")
         spans = spans.union(matched.select("id", F.col("c").alias("s"), F.col("p").alias("e")))
     return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **options) -> DataFrame:
     """For each row of docs: `id, n_bytes, n_removed, n_spans, kept_sha256`: what is left once each byte is removed that is
     covered by a string of `window` bytes which also starts earlier (smaller id, or same document and earlier start).
 
     Texts are whole, as UTF-8; null is empty; matches never cross documents. Null ids come first. Rows that repeat an id and a
     text are one document and get one result each; texts that share an id are ordered by their hash.
     """
+    if not gram < window < gram + 128:
+        raise ValueError("the window must be longer than the k-gram, by less than 128")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = docs.agg(F.count("*"), F.count("id"), F.approx_count_distinct("id")).first()
+    ids = docs.agg(F.count("*"), F.count("id")).first()
     plain = isinstance(docs.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and ids[0] == ids[1]
     plain = plain and docs.groupBy("id").count().filter("count > 1").isEmpty()
     if plain:
@@ -341,8 +343,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = store(order.withColumn("place", F.monotonically_increasing_id()), "repeat-order").select(F.col("id").alias("own"), F.col("tag").alias("own_tag"), "place")
         placed = store(tagged.join(order, F.col("id").eqNullSafe(F.col("own")) & (F.col("tag") == F.col("own_tag"))).select("place", F.col("id").alias("own"), "text"), "repeat-placed")
         keyed = placed.select(F.col("place").alias("id"), "text")
-    spans = repeat_spans(keyed.dropDuplicates(["id"]) if not plain else keyed, window, **options)
-    cut = keyed.join(spans, "id", "left").select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = repeat_spans(keyed.dropDuplicates(["id"]) if not plain else keyed, window, gram, **options)
+    cut = keyed.join(spans, "id", "left").select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(trimmed(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if plain:
         return cut.withColumn("id", F.col("id").cast(kind))
     back = placed.select("place", "own").distinct()

@@ -72,7 +72,7 @@ def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
         best = np.argsort(-s, kind="stable")[:k]
         rows.append(np.full(len(best), i))
         cols.append(at[best])
-        scores.append(np.array([int(v) for v in s[best]], object if not fit else np.int64))
+        scores.append(np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[best]], np.int64))
     return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, scores))
 
 
@@ -81,7 +81,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     floor(scale * component), but not the row of its own id. Fewer if there are fewer; ties to the smaller id.
 
     Vectors that are null or hold a null or a component that isn't finite take no part; a shorter vector counts as filled with
-    zeros; an empty one scores 0. Rows that repeat an id are candidates of their own, and neither is one for the other; repeated
+    zeros; an empty one scores 0. Scores beyond a long stop at its ends. Rows that repeat an id are candidates of their own, and neither is one for the other; repeated
     query ids are asked once, by their first vector.
 
     Every query block meets every candidate block, in a task that holds these two only. Each block is copied once for each block

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,3 +111,8 @@ def test_text_in_pieces():
         windows |= {(r["id"], s) for r in rows if r["h"] < 0 for s in range(r["c"], r["p"] - 99)}
         found.add(frozenset(windows))
     assert len(found) == 1 and {s for i, s in next(iter(found)) if i == 5} == set(range(2901))
+
+
+def test_window_must_fit(spark):
+    with pytest.raises(ValueError):
+        repeats.without_repeats(documents(spark), window=20)

@@ -48,3 +48,9 @@ def test_table(spark):
         assert sorted((r.query_id, r.rank, r.id, r.score) for r in got) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     assert topk.top_k(df.limit(1), df.limit(1)).count() == 0
+
+
+def test_scores_beyond_a_long():
+    x = np.array([[2**62, 2**62], [-(2**62), 2**61], [5, 5]])
+    _, j, s = topk.block_top(x[:1], np.array([-1]), x, np.arange(3), 3)
+    assert j.tolist() == [0, 2, 1] and s.tolist() == [2**63 - 1, 10 * 2**62 if 10 * 2**62 < 2**63 else 2**63 - 1, -(2**63)]
