@@ -59,3 +59,40 @@ def specifications(hits: DataFrame, least: int = 2) -> DataFrame:
     """Rules (`id, name, path, line, type, rule`) on a type that enough functions repeat."""
     many = hits.groupBy("type", "rule").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= least).select("type", "rule")
     return candidates("specification", hits.join(many, ["type", "rule"]), F.concat_ws(" ", "rule", "type"), ["type", "rule"])
+
+
+def judge_columns(values: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """`cluster, var, verdict, key, score, mismatch` of the method-like holes of templates (`cluster, var, value`).
+
+    A hole is a trait if its distinct values are all known functions (facts: `id, type, key, implements, effects`) of two types or
+    more from one package, with one signature key among the groups (`key, score`); suppressed if all of them implement an
+    interface already; else skip. An empty type is no type. mismatch: their effects differ.
+    """
+    own = values.select("cluster", "var", "value").distinct().join(facts, F.col("value") == F.col("id"), "left")
+    kind = F.nullif(F.coalesce("type", F.lit("")), F.lit(""))
+    package = F.nullif(F.when(kind.contains("."), F.regexp_replace(kind, r"\.[^.]*$", "")), F.lit(""))
+    found = own.groupBy("cluster", "var").agg(
+        F.bool_and(F.col("id").isNotNull()).alias("known"), F.countDistinct(kind).alias("types"), F.countDistinct(package).alias("packages"), F.bool_and(F.coalesce("implements", F.lit(False))).alias("all_implement"),
+        F.min("key").alias("key"), F.max("key").alias("other"), F.countDistinct("effects").alias("effects"),
+    )
+    out = found.join(groups.select(F.col("key"), "score"), "key", "left")
+    fit = F.col("known") & (F.col("types") >= 2) & (F.col("packages") <= 1)
+    verdict = F.when(~fit, "skip").when(F.col("all_implement"), "suppressed").when((F.col("key") == F.col("other")) & F.col("score").isNotNull(), "trait").otherwise("skip")
+    return out.select("cluster", "var", verdict.alias("verdict"), "key", F.when(verdict == "trait", F.col("score")).alias("score"), (F.col("effects") > 1).alias("mismatch"))
+
+
+def trait_evidence(judged: DataFrame) -> DataFrame:
+    """`cluster, lift, mismatch, common`: clusters with a trait among their holes; the lift is the least group score, below 500
+    the signature is common."""
+    t = judged.filter("verdict = 'trait'").groupBy("cluster").agg(F.min("score").alias("lift"), F.bool_or("mismatch").alias("mismatch"))
+    return t.withColumn("common", F.col("lift") < 500)
+
+
+def substantial(nodes: DataFrame, edges: DataFrame, guard: bool = True, least: int = 2) -> DataFrame:
+    """`g`: bodies with enough calls or, with the guard, one whose data does not come from parameters alone."""
+    calls = nodes.filter("kind = 'call'").select("g", "node")
+    n = calls.groupBy("g").agg(F.count("*").alias("calls"))
+    params = nodes.select("g", F.col("node").alias("src"), (F.col("kind") == "param").alias("param"))
+    fed = edges.filter("kind = 'data'").join(calls, (edges["g"] == calls["g"]) & (edges["dst"] == calls["node"])).select(edges["g"], "src").join(params, ["g", "src"]).groupBy("g").agg(F.bool_or(~F.col("param")).alias("own"))
+    out = n.join(fed, "g", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    return out.filter((F.col("calls") >= least) | (F.lit(guard) & (F.col("calls") == 1) & F.col("own"))).select("g")

@@ -108,3 +108,8 @@ def half_point(rows: DataFrame, group: list[str], order: list[str], weight_col:
     off = F.abs(2 * F.sum(weight_col).over(w) - total)
     ranked = rows.select(*group, off.alias("off"), F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("cut"))
     return ranked.groupBy(*group).agg(F.min_by("cut", F.struct("off", "cut")).alias("cut"))
+
+
+def diff_base(explicit: str | None, main: str | None, master: str | None, head: str | None) -> str | None:
+    """What changes are counted from: the base asked for, else the merge base with main, then master, else the head, else nothing."""
+    return explicit or main or master or head or None

@@ -104,3 +104,25 @@ def diagnostics(metrics: DataFrame, keys: list[str], rules: dict[str, str], limi
 
 def parameter_budget(params: Column, has_self: Column) -> Column:
     return params + F.when(has_self, 1).otherwise(0)
+
+
+def ddd_metrics(hits: DataFrame, function_col: str) -> DataFrame:
+    """`function, aggregate, repository, mutable_identity` of domain hits (`rule_id, detail`): distinct details of the first, counts
+    of the others (Q10, G6)."""
+    return hits.groupBy(function_col).agg(F.countDistinct(F.when(F.col("rule_id") == "aggregate", F.col("detail"))).alias("aggregate"), *[F.count_if(F.col("rule_id") == r).alias(r) for r in ("repository", "mutable_identity")])
+
+
+def evaluate(functions: DataFrame, effects: DataFrame, targets: DataFrame, keys: list[str], config: Config) -> DataFrame:
+    """`keys, rule, actual, max` of all rules (Q1): functions (`keys, code_lines, params, has_self, statements, suppressed`), their
+    effects (`keys, kind`) and mutation targets (`keys, target, n`). Density counts from min_statements on. Read it ordered by
+    (keys, position of the rule)."""
+    e = effects.groupBy(*keys).agg(F.sum(weight_of(F.col("kind"), config.weights)).cast("long").alias("weight"))
+    t = targets.groupBy(*keys).agg(F.count("*").alias("targets"))
+    f = functions.join(e, keys, "left").join(t, keys, "left").fillna(0, ["weight", "targets"])
+    f = f.withColumn("budget", parameter_budget(F.col("params"), F.col("has_self"))).withColumn("density", F.when(F.col("statements") >= config.min_statements, F.expr("1000 * weight div greatest(statements, 1)")).otherwise(F.lit(0)))
+    rules = {"fn_length": "code_lines", "fn_params": "budget", "mutated_targets": "targets", "side_effect_density": "density"}
+    out = diagnostics(f, keys, rules, config.limits, "suppressed")
+    busy = targets.filter(F.col("n") > config.limits["mutation_per_target"]).join(functions.select(*keys, "suppressed"), keys).filter(~F.coalesce(F.array_contains("suppressed", "mutation_per_target"), F.lit(False)))
+    each = busy.select(*keys, F.lit("mutation_per_target").alias("rule"), F.col("n").cast("long").alias("actual"), F.lit(config.limits["mutation_per_target"]).cast("long").alias("max"))
+    both = out.unionByName(each)
+    return both.withColumn("position", F.array_position(F.array(*map(F.lit, RULE_ORDER)), F.col("rule")).cast("int"))

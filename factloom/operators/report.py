@@ -69,3 +69,14 @@ def diagnostics_text(rows: DataFrame) -> DataFrame:
 
 def report_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "false"}).alias("json"))
+
+
+def markers(candidates: DataFrame) -> DataFrame:
+    """`path, line, kind, score, observation`: one mark a site (V3)."""
+    return candidates.select("kind", "score", "observation", F.explode("sites").alias("s")).select("s.path", "s.line", "kind", "score", "observation")
+
+
+def marks_by_line(marks: DataFrame) -> DataFrame:
+    """At each line the best mark of each kind; of equals the first observation."""
+    best = marks.groupBy("path", "line", "kind").agg(F.min_by(F.struct("score", "observation"), F.struct(-F.col("score"), F.col("observation"))).alias("b"))
+    return best.select("path", "line", "kind", "b.score", "b.observation")

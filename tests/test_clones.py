@@ -68,3 +68,23 @@ def test_candidates(spark):
     assert [r.observation for r in candidates.specifications(s).collect()] == ["positive T"]
     facts = f.select(F.col("id"), "path", "line", "name").distinct()
     assert candidates.located(spark.createDataFrame([(1,), (77,)], "id long"), facts).count() == 1
+
+
+def test_judge(spark):
+    facts = spark.createDataFrame(
+        [("a.T.m", "a.T", "k", False, "pure"), ("a.U.m", "a.U", "k", False, "io"), ("b.V.m", "b.V", "k", False, "pure"), ("a.W.n", "a.W", "z", False, "pure"), ("a.X.i", "a.X", "k", True, "pure"), ("a.Y.i", "a.Y", "k", True, "pure")],
+        "id string, type string, key string, implements boolean, effects string",
+    )
+    groups = spark.createDataFrame([("k", 300)], "key string, score long")
+    columns = {0: ["a.T.m", "a.U.m"], 1: ["a.T.m", "b.V.m"], 2: ["a.T.m", "a.W.n"], 3: ["a.X.i", "a.Y.i"], 4: ["a.T.m", "gone"], 5: ["a.T.m", "a.T.m"]}
+    values = spark.createDataFrame([(c, "M0", v) for c, vs in columns.items() for v in vs], "cluster int, var string, value string")
+    judged = candidates.judge_columns(values, facts, groups)
+    assert {r.cluster: r.verdict for r in judged.collect()} == {0: "trait", 1: "skip", 2: "skip", 3: "suppressed", 4: "skip", 5: "skip"}
+    assert [tuple(r) for r in candidates.trait_evidence(judged).collect()] == [(0, 300, True, True)]
+
+
+def test_substance(spark):
+    n = spark.createDataFrame([(0, 0, "param"), (0, 1, "call"), (1, 0, "op"), (1, 1, "call"), (2, 0, "call"), (2, 1, "call"), (3, 0, "op")], "g long, node long, kind string")
+    e = spark.createDataFrame([(0, 0, 1, "data"), (1, 0, 1, "data")], "g long, src long, dst long, kind string")
+    assert {r.g for r in candidates.substantial(n, e).collect()} == {1, 2}
+    assert {r.g for r in candidates.substantial(n, e, guard=False).collect()} == {2}

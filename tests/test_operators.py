@@ -322,3 +322,19 @@ def test_treemap_and_patterns(spark):
     paths = spark.createDataFrame([("/a/b/c/x.go",), ("/a/b/d.go",)], "p string")
     assert reduction.common_root(paths, "p").first()[0] == "/a/b"
     assert reduction.common_root(paths.limit(1), "p").first()[0] == "/a/b/c"
+
+
+def test_evaluate(spark):
+    f = spark.createDataFrame([("f", 300, 4, True, 4, []), ("g", 10, 2, False, 2, ["fn_length"]), ("h", 300, 2, False, 9, ["fn_length"])], "k string, code_lines int, params int, has_self boolean, statements int, suppressed array<string>")
+    e = spark.createDataFrame([("f", "io")] * 2 + [("g", "unsafe")], "k string, kind string")
+    t = spark.createDataFrame([("f", "r", 4), ("g", "r", 3)], "k string, target string, n int")
+    got = [(r.k, r.rule, r.actual) for r in quality.evaluate(f, e, t, ["k"], quality.Config()).orderBy("k", "position").collect()]
+    assert got == [("f", "fn_length", 300), ("f", "fn_params", 5), ("f", "mutation_per_target", 4), ("f", "side_effect_density", 1500)]
+    hits = spark.createDataFrame([("f", "aggregate", "A"), ("f", "aggregate", "A"), ("f", "aggregate", "B"), ("f", "repository", "q")], "k string, rule_id string, detail string")
+    assert rows(quality.ddd_metrics(hits, "k")) == [("f", 2, 1, 0)]
+
+
+def test_marks(spark):
+    c = spark.createDataFrame([("k", 5, "x", [("p", 1), ("p", 2)]), ("k", 9, "y", [("p", 1)]), ("z", 1, "y", [("p", 1)])], "kind string, score long, observation string, sites array<struct<path:string,line:int>>")
+    assert rows(report.marks_by_line(report.markers(c))) == [("p", 1, "k", 9, "y"), ("p", 1, "z", 1, "y"), ("p", 2, "k", 5, "x")]
+    assert intervals.diff_base(None, "", "m", "h") == "m" and intervals.diff_base(None, None, None, "") is None
