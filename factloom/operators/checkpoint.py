@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df and cuts its lineage with a reliable checkpoint. The folder is spark.checkpoint.dir; a local one only if unset."""
-    sc = df.sparkSession.sparkContext
+    """Computes df once, as Parquet in the shared folder, and reads it again: the lineage is cut, lost executors cost nothing that is
+    written, and Catalyst sees the real size. The folder is that of spark.checkpoint.dir; a local one only where it is unset."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -66,17 +66,17 @@ def similar_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
 def wl_histograms(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """`g, round, color, n`: colours of nodes (`g, node, label`) refined over edges (`g, src, dst, tag`): each round hashes the
     colour with the sorted colours of what flows in, then of what it flows to."""
-    colors = nodes.select("g", "node", F.xxhash64("label").alias("color"))
+    colors = nodes.select("g", F.col("node").alias("src"), F.xxhash64("label").alias("color"))
+    ways = edges.select("g", "src", "dst", "tag", F.lit(True).alias("ahead")).union(edges.select("g", "dst", "src", "tag", F.lit(False)))
     parts = []
     for r in range(rounds + 1):
         parts.append(colors.groupBy("g", "color").agg(F.count("*").alias("n")).withColumn("round", F.lit(r)))
         if r == rounds:
             break
-        ahead = edges.join(colors, (edges["g"] == colors["g"]) & (edges["src"] == colors["node"])).groupBy(edges["g"], F.col("dst").alias("node")).agg(F.sort_array(F.collect_list(F.xxhash64("tag", "color"))).alias("ins"))
-        back = edges.join(colors, (edges["g"] == colors["g"]) & (edges["dst"] == colors["node"])).groupBy(edges["g"], F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.xxhash64("tag", "color"))).alias("outs"))
+        sent = ways.join(colors, ["g", "src"]).groupBy("g", "dst").agg(*[F.sort_array(F.collect_list(F.when(F.col("ahead") == w, F.xxhash64("tag", "color")))).alias(n) for n, w in (("ins", True), ("outs", False))])
         none = F.array().cast("array<bigint>")
-        colors = colors.join(ahead, ["g", "node"], "left").join(back, ["g", "node"], "left")
-        colors = cut(colors.select("g", "node", F.xxhash64(F.xxhash64("color", F.lit(1), F.coalesce("ins", none)), F.lit(2), F.coalesce("outs", none)).alias("color")))
+        colors = colors.join(sent, (colors["g"] == sent["g"]) & (colors["src"] == sent["dst"]), "left").select(colors["g"], "src", F.xxhash64(F.xxhash64("color", F.lit(1), F.coalesce("ins", none)), F.lit(2), F.coalesce("outs", none)).alias("color"))
+        colors = cut(colors)
     return reduce(DataFrame.unionByName, parts)
 
 
