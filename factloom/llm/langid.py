@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, slices, table
+from .common import Block, slices, table, trimmed
 
 #: Slots of the hashed n-grams.
 SLOTS = 4096
@@ -127,7 +127,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                     df += (gram_counts(part.column(0).slice(a, 256), slots) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, slots), pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["slot", "n"])
 
-    df = {r.slot: r.n for r in train.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    df = {r.slot: r.n for r in train.select("text").mapInArrow(trimmed(frequencies), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(s, 0) for s in range(slots)]))).astype(np.float32) + np.float32(1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
@@ -159,7 +159,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(trimmed(run), f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -173,7 +173,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
                 _, _, rejected = held.value.predict(part.column(part.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rejected)], [*names, "__lang_rejected"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang_rejected", T.BooleanType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("__lang_rejected", T.BooleanType())]))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, ragged, slices, table
+from .common import Block, ragged, slices, table, trimmed
 from .wordpool import WordPool
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -194,7 +194,7 @@ class PieceModel:
         while a < len(order):  # words of one length, or of nearly one among the long ones, up to a bound of characters
             n = int(size[order[a]])
             b = int(np.searchsorted(size[order], n if n <= 24 else n + n // 8, "right"))
-            b = min(b, a + max(1, (1 << 19) // max(n, 1)))
+            b = min(b, a + max(1, (1 << 18) // max(n, 1)))
             flat, counts[order[a:b]] = self._together([texts[i] for i in order[a:b]], size[order[a:b]])
             flats.append(flat)
             a = b
@@ -354,7 +354,7 @@ def _model(data: bytes) -> tuple[PieceModel, WordPool]:
     if key not in _MODELS:
         model = PieceModel(data)
         _MODELS.clear()
-        _MODELS[key] = model, WordPool(model.viterbi)
+        _MODELS[key] = model, WordPool(model.viterbi, 500_000)
     return _MODELS[key]
 
 
@@ -369,7 +369,7 @@ def with_pieces(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pool = _model(held.value)
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, 1 << 19):
                 column = part.column(part.schema.get_field_index(text_col))
                 ids, at = pieces.encode(column, pool)
                 null = np.asarray(pc.is_null(column))
@@ -379,7 +379,7 @@ def with_pieces(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     more = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *more]))
+    return plain.mapInArrow(trimmed(run), T.StructType([*plain.schema.fields, *more]))
 
 
 def public_model() -> bytes:
@@ -407,4 +407,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
     coded = coded.select("doc_id", F.coalesce("piece_ids", F.array().cast("array<int>")).alias("ids"), F.coalesce(F.crc32(F.col("decoded").cast("binary")), F.lit(0)).alias("decoded_crc32"), same.alias("round_trip"))
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return coded.mapInArrow(trimmed(digest), "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

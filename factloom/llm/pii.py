@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Block, joined, slices, table
+from .common import Block, joined, slices, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -406,7 +406,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 counts = [pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([listed(b) for b, _ in found], pa.string()), pa.array([listed(e) for _, e in found], pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return source.mapInArrow(trimmed(run), f"id {source.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def redact(text: str, spans: list[list[tuple[int, int]]]) -> str:
@@ -440,7 +440,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
                     arrays[j] = pa.array([n if a is b else len(b) for n, a, b in zip(arrays[j].to_pylist(), texts, new)], arrays[j].type)
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op8_field(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, joined, slices, table
+from .common import Block, joined, slices, table, trimmed
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -147,7 +147,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[k], pa.int64()) for k in names)], ["id", *names])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in names))
+    found = source.mapInArrow(trimmed(run), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in names))
     failed = (F.col("n_covered_words") > F.lit(max_covered) * F.col("n_words")) | (F.col("longest_repeat") > max_repeat)
     return found.withColumn("repeats_failed", failed)
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, ragged, slices, store, table
+from .common import Block, ragged, slices, store, table, trimmed
 from .components import components
 
 #: A bucket with more fingerprints is dealt out as pairs of parts, each a task of its own.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text_fingerprints(part.column(1), shingle, seed).view(np.int64))], ["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(trimmed(run), f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -157,7 +157,7 @@ def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> Data
     """
     tables = F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(covering_masks(radius))])
     rows = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    found = store(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_link_buckets(radius, most), "t int, key long, a long, b long"), "simhash-links")
+    found = store(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(trimmed(_link_buckets(radius, most)), "t int, key long, a long, b long"), "simhash-links")
     links, large = found.filter("b is not null").select("a", "b"), found.filter("b is null")
     if large.isEmpty():
         return links

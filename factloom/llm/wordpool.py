@@ -17,7 +17,7 @@ from .common import ragged
 LONG = 256
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
