@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: The milli score of each kind of finding.
 SCORES = {
-    "clone": 750, "inconsistent_clone": 600, "rule_violation": 750, "disjunctive_violation": 750, "belief_violation": 800, "obligation": 800, "taint": 900, "dependence_cluster": 650,
-    "value_object": 450, "primitive_obsession": 350, "aggregate": 400, "repository": 400, "factory": 450, "specification": 450, "entity": 450, "missing_identity": 400, "mutable_identity": 350,
-    "anemic_model": 400, "domain_service": 350, "guard": 500, "enum_dispatch": 500, "type_switch": 450, "nilerr": 800, "forcetypeassert": 700, "typednil": 750,
+    "ccgraph_clone": 750, "inconsistent_clone": 600, "mined_rule": 750, "alattin_rule": 750, "deviant_behavior": 800, "obligation": 800, "taint_flow": 900, "dependence_cluster": 650,
+    "value_object": 450, "primitive_obsession": 350, "aggregate": 400, "repository": 400, "factory": 450, "specification": 450, "entity_identity": 450, "missing_identity": 400, "mutable_identity": 350,
+    "anemic_model": 400, "domain_service": 350, "guard_clause": 500, "enum_dispatch": 500, "type_switch": 450, "nilerr": 800, "forcetypeassert": 700, "typednil": 750,
 }
 #: The kinds that a comment can suppress.
 SUPPRESSIBLE = ("nilerr", "forcetypeassert", "typednil")

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 #: Candidate builders by kind, in the order of registration.
 MINERS: dict[str, Callable[..., DataFrame]] = {}
 #: Kinds in the order their fixes are applied.
-FIX_ORDER = ["guard", "value_object", "parameterize", "trait_method", "capability_set", "enum_dispatch", "generic_fn", "anemic_model", "primitive_obsession", "type_switch", "entity", "factory", "specification"]
+FIX_ORDER = [
+    "guard_clause", "primitive_obsession", "value_object", "factory", "specification", "missing_identity", "entity_identity", "domain_service",
+    "anemic_model", "type_switch", "enum_dispatch", "trait_method", "capability_set", "generic_fn", "parameterize",
+]
+#: Kinds that are fixed together, phase by phase; each phase sees what the one before it wrote.
+FIX_PHASES = [FIX_ORDER[:2], FIX_ORDER[2:3], FIX_ORDER[3:14], FIX_ORDER[14:]]
 
 
 def miner(kind: str):
@@ -80,3 +85,23 @@ def marks_by_line(marks: DataFrame) -> DataFrame:
     """At each line the best mark of each kind; of equals the first observation."""
     best = marks.groupBy("path", "line", "kind").agg(F.min_by(F.struct("score", "observation"), F.struct(-F.col("score"), F.col("observation"))).alias("b"))
     return best.select("path", "line", "kind", "b.score", "b.observation")
+
+
+def run_phases(mine: Callable[[list[str], set[str] | None], DataFrame], apply: Callable[[DataFrame], set[str]], cycles: int = 3) -> tuple[int, set[str]]:
+    """Fixes phase by phase until a cycle changes nothing, `cycles` times at most; the number of cycles and all changed files.
+
+    mine(kinds, files) gives the ordered fixes of some kinds, of all files in the first cycle and then of the changed ones; apply
+    writes them and returns the files it changed.
+    """
+    every: set[str] = set()
+    dirty: set[str] | None = None
+    for cycle in range(1, cycles + 1):
+        changed: set[str] = set()
+        for kinds in FIX_PHASES:
+            scope = None if dirty is None else dirty | changed
+            changed |= apply(fix_order(mine(kinds, scope)))
+        every |= changed
+        if not changed:
+            return cycle, every
+        dirty = changed
+    return cycles, every

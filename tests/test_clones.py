@@ -57,7 +57,7 @@ def test_candidates(spark):
     hits = spark.createDataFrame([("p", 2, "f", "f", "d", ["nilerr"]), ("p", 3, "g", "g", "d", []), ("p", 4, "h", "h", "d", None)], "path string, line int, id string, name string, detail string, suppressed array<string>")
     got = report.best_first(candidates.static_findings("nilerr", hits)).collect()
     assert [(r.score, r.sites[0].id) for r in got] == [(800, "g"), (800, "h")]
-    assert candidates.static_findings("guard", hits).count() == 3
+    assert candidates.static_findings("guard_clause", hits).count() == 3
     f = spark.createDataFrame([(i, f"n{i}", "p", i, "T", 5) for i in range(4)] + [(9, "n9", "p", 9, "U", 3), (9, "n9", "p", 9, "T", 3)], "id long, name string, path string, line int, type string, fields int")
     services = spark.createDataFrame([(0,), (9,)], "id long")
     a = candidates.anemic_models(f, services).collect()

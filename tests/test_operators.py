@@ -280,8 +280,8 @@ def test_reports(spark):
     b = spark.createDataFrame([(5, "w", [("a", 2), ("b", 1)]), (5, "x", [("a", 2)])], kind)
     got = [(r.score, r.kind, r.observation) for r in report.best_first(report.union_ranked({"k2": a, "k1": b})).collect()]
     assert got == [(9, "k2", "y"), (5, "k1", "x"), (5, "k2", "x"), (5, "k1", "w")]
-    specs = spark.createDataFrame([("entity", "a", 1), ("guard", "a", 1), ("guard", "a", 9)], "kind string, path string, line int")
-    assert [(r.kind, r.line) for r in report.fix_order(specs).collect()] == [("guard", 9), ("guard", 1), ("entity", 1)]
+    specs = spark.createDataFrame([("entity_identity", "a", 1), ("guard_clause", "a", 1), ("guard_clause", "a", 9)], "kind string, path string, line int")
+    assert [(r.kind, r.line) for r in report.fix_order(specs).collect()] == [("guard_clause", 9), ("guard_clause", 1), ("entity_identity", 1)]
     ids = spark.createDataFrame([("x/tests/a",), ("bindgen_x.go",), ("core.latest",)], "p string")
     assert [r[0] for r in ids.select(report.is_boilerplate(F.col("p"))).collect()] == [True, True, False]
     assert [r[0] for r in ids.select(report.matches_any(F.col("p"), ["x/*a", "core"])).collect()] == [True, False, True]
@@ -338,3 +338,20 @@ def test_marks(spark):
     c = spark.createDataFrame([("k", 5, "x", [("p", 1), ("p", 2)]), ("k", 9, "y", [("p", 1)]), ("z", 1, "y", [("p", 1)])], "kind string, score long, observation string, sites array<struct<path:string,line:int>>")
     assert rows(report.marks_by_line(report.markers(c))) == [("p", 1, "k", 9, "y"), ("p", 1, "z", 1, "y"), ("p", 2, "k", 5, "x")]
     assert intervals.diff_base(None, "", "m", "h") == "m" and intervals.diff_base(None, None, None, "") is None
+
+
+def test_phases(spark):
+    todo, seen = {"guard_clause": ["a", "b"], "parameterize": ["b"]}, []
+
+    def mine(kinds, files):
+        seen.append((kinds[0], None if files is None else sorted(files)))
+        return spark.createDataFrame([(k, f, 1) for k in kinds for f in todo.get(k, []) if files is None or f in files], "kind string, path string, line int")
+
+    def apply(specs):
+        done = {r.path for r in specs.collect()}
+        for k in {r.kind for r in specs.collect()}:
+            todo[k] = []
+        return done
+
+    assert report.run_phases(mine, apply) == (2, {"a", "b"})
+    assert seen[0] == ("guard_clause", None) and seen[4] == ("guard_clause", ["a", "b"]) and len(seen) == 8
