@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Block, slices, store, table
+from .common import Block, slices, store, table, trimmed
 from .wordpool import WordPool
 
 MAGIC = b"DAC1"
-#: Ids of a segment, about; a longer document makes a longer segment.
-SEGMENT = 1 << 18
+#: Ids of a segment, about; a longer document makes a longer segment. Small, for Arrow and Parquet count rows, not bytes.
+SEGMENT = 1 << 13
+#: Ranges of ids at most: the totals of all ranges are broadcast.
+RANGES = 10_000
 
 
 def pack(doc_ids: list, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -150,7 +152,7 @@ def encode_texts(pool: WordPool, column: pa.Array, end_id: int | None) -> tuple[
 
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, rows_per_range: int = 10_000, segment: int = SEGMENT) -> DataFrame:
     """Writes the ids of all texts to segments, in ascending order of id, and returns the files as a table: `range, seq,
-    n_tokens, payload`, one segment a row, `payload` in the layout above. tokenizer: the JSON of a `tokenizers` tokenizer.
+    first, n_tokens, payload`, one segment a row, `first` the ids before it in its range, `payload` in the layout above. tokenizer: the JSON of a `tokenizers` tokenizer.
 
     Ranges of ids are cut by quantiles of the id column alone, so a text is encoded once; only ids are shuffled, in 2 bytes
     where the vocabulary allows. Spark's committer writes the files to the shared folder, so a lost executor's part is written
@@ -158,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = int(min(10_000, max(1, -(-source.count() // rows_per_range))))
+    ranges = int(min(RANGES, max(1, -(-source.count() // rows_per_range))))
     cuts = np.unique(np.array(source.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges), dtype=np.float64)) if ranges > 1 else np.zeros(0)
     vocabulary = spark.sparkContext.broadcast(tokenizer)
     kind = np.uint16
@@ -176,39 +178,38 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), part.column(0), pa.array([data.itemsize] * part.num_rows, pa.int32()), payload], ["range", "id", "width", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, place, seq = [], 0, None, 0
+        held, count, place, seq, before = [], 0, None, 0, 0
 
         def flush():
             ids = np.concatenate([x for _, x in held])
             starts = np.concatenate([[0], np.cumsum([len(x) for _, x in held])])
             payload = pack([d for d, _ in held], starts, ids)
-            return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["range", "seq", "n_tokens", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["range", "seq", "first", "n_tokens", "payload"])
 
         for batch in batches:
             for r, d, w, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (r != place or count >= segment):
                     yield flush()
-                    held, count, seq = [], 0, seq + 1 if r == place else 0
+                    seq, before = (seq + 1, before + count) if r == place else (0, 0)
+                    held, count = [], 0
                 place = r
                 held.append((d, np.frombuffer(x, kind if w == 2 else np.uint32).astype(np.uint32)))
                 count += len(held[-1][1])
         if held:
             yield flush()
 
-    coded = source.mapInArrow(encode, "range int, id long, width int, ids binary")
-    files = coded.repartition(ranges, "range").sortWithinPartitions("range", "id", "ids").mapInArrow(build, "range int, seq long, n_tokens long, payload binary")
+    coded = source.mapInArrow(trimmed(encode), "range int, id long, width int, ids binary")
+    files = coded.repartition(ranges, "range").sortWithinPartitions("range", "id", "ids").mapInArrow(trimmed(build), "range int, seq long, first long, n_tokens long, payload binary")
     return store(files, "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """From the files of write_tokens: `id, start, n_tokens, ids_crc32` of each document; start counts all ids before it.
 
-    Sums for each range (10,000 at most) give where a range begins, and a window in each range where a segment does.
+    Sums for each range say where a range begins; they are RANGES rows at most, so they are broadcast, and no payload moves.
     """
-    sizes = files.select("range", "seq", "n_tokens")
-    totals = sizes.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    totals = files.groupBy("range").agg(F.sum("n_tokens").alias("n"))
     totals = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    at = sizes.join(totals, "range").select("range", "seq", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq")) - F.col("n_tokens")).alias("at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,8 +219,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(part.doc_ids, pa.int64()), pa.array(before + starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.join(store(at, "token-places"), ["range", "seq"])
-    return placed.select("at", "payload").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.join(F.broadcast(totals), "range").select((F.col("before") + F.col("first")).alias("at"), "payload")
+    return placed.mapInArrow(trimmed(read), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
