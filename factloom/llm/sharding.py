@@ -1,9 +1,10 @@
 """Sharding by Karmarkar-Karp differencing.
 
 Groups of equal texts are indivisible. A partial partition is a tuple of k sums; differencing takes the two with the largest
-spread and adds one to the other in opposite order, until one is left. At scale it runs as a tree: each block of a bounded
-number of groups is differenced in one task, and what a block leaves is itself a partial partition, so blocks are differenced
-in the same way, level by level. No task holds more than one block, and no text is shuffled.
+spread and adds one to the other in opposite order, until one is left. Groups of more than a small share of a shard, a bounded
+number, are differenced first. What they make of the shards then enters the differencing of every block of the other groups as
+one more partial partition, scaled by the block's share of the bytes: so each block fills the shards up to one level, its subsets
+are the shards themselves, and blocks are tasks of their own. What they leave uneven is some bytes each. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -56,34 +57,32 @@ def difference(parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _difference_groups(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        parts = np.zeros((len(pdf), k), np.int64)
-        parts[:, 0] = pdf["bytes"].to_numpy()
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "bytes": parts[:, 0], "block": pdf["block"].to_numpy(), "part": difference(parts)[:, 0].astype(np.int32)})
-
-    return run
-
+def _difference_block(loads: np.ndarray, rest: int):
+    """loads: what the large groups put in each shard; rest: bytes of all other groups."""
 
-def _difference_blocks(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, row = np.unique(pdf["top"].to_numpy(), return_inverse=True)
-        parts = np.zeros((len(top), k), np.int64)
-        parts[row, pdf["slot"].to_numpy()] = pdf["bytes"].to_numpy()
+        pdf = pdf.sort_values("key", kind="stable")
+        size = pdf["bytes"].to_numpy(np.int64)
+        parts = np.zeros((len(pdf) + 1, len(loads)), np.int64)
+        parts[0] = np.rint(loads * (float(size.sum()) / max(rest, 1)))
+        parts[1:, 0] = size
         to = difference(parts)
-        return pd.DataFrame({"top": np.repeat(top, k), "slot": np.tile(np.arange(k, dtype=np.int32), len(top)), "above": pdf["above"].iloc[0], "to": to.ravel().astype(np.int32)})
+        shard = np.empty(len(loads), np.int32)
+        shard[to[0]] = np.arange(len(loads))  # the subset that holds shard j's load is shard j
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "shard": shard[to[1:, 0]]})
 
     return run
 
 
-def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_groups: int = 16384, fan_in: int = 1024, chunk_rows: int = 20000) -> DataFrame:
+def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_groups: int = 16384, large: int = 64, chunk_rows: int = 20000) -> DataFrame:
     """Every row of docs gets a shard in 0..n_shards-1 and a gapless slot in it: `id, size, text_crc32, shard, slot`.
 
     size is the text's UTF-8 bytes (null: 0) plus `overhead`. Equal texts stay together; null texts are one group, apart from
     the empty text. Byte totals differ by little unless one group alone exceeds the mean, which then fills its shard alone.
-    Repeated ids keep a slot each. An empty table gives no rows. Other columns are ignored.
+    Groups of over a `large`-th of a shard's mean, n_shards x large at most, are dealt out on the driver. Repeated ids keep a slot
+    each. An empty table gives no rows. Other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + overhead).alias("size"),
@@ -91,20 +90,20 @@ def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_
         F.coalesce(F.unhex(F.md5(F.col(text_col).cast("binary"))), F.lit(b"")).alias("key"),
     )
     rows = store(rows, "shard-rows")
+    groups = store(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
+    n_groups, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    is_large = F.col("bytes") * F.lit(n_shards * large) > F.lit(total)
+    heavy = sorted(groups.filter(is_large).collect(), key=lambda r: (-r.bytes, bytes(r.key)))
+    parts = np.zeros((len(heavy), n_shards), np.int64)
+    parts[:, 0] = [r.bytes for r in heavy]
+    to, loads = difference(parts)[:, 0], np.zeros(n_shards, np.int64)
+    np.add.at(loads, to, parts[:, 0])
+    n_blocks = max(1, math.ceil(n_groups / block_groups))
+    light = groups.filter(~is_large).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
+    dealt = light.groupBy("block").applyInPandas(_difference_block(loads, int(total - loads.sum())), "key binary, shard int")
+    dealt = dealt.union(spark.createDataFrame([(bytearray(r.key), int(j)) for r, j in zip(heavy, to)], "key binary, shard int"))
+    by_key = store(dealt, "shard-places")
     n_rows = rows.count()
-    n_blocks = max(1, math.ceil(n_rows / block_groups))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
-    first = store(groups.groupBy("block").applyInPandas(_difference_groups(n_shards), "key binary, bytes long, block int, part int"), "shard-groups")
-    # (block, part) -> the place in what is differenced so far
-    place = first.groupBy("block", "part").agg(F.sum("bytes").alias("bytes")).select("block", "part", F.col("block").alias("top"), F.col("part").alias("slot"), "bytes")
-    while n_blocks > 1:
-        n_blocks = math.ceil(n_blocks / fan_in)
-        place = store(place, "shard-level")
-        sums = place.groupBy("top", "slot").agg(F.sum("bytes").alias("bytes")).withColumn("above", F.pmod("top", F.lit(n_blocks)).cast("int"))
-        moved = sums.groupBy("above").applyInPandas(_difference_blocks(n_shards), "top int, slot int, above int, to int")
-        place = place.join(moved, ["top", "slot"]).select("block", "part", F.col("above").alias("top"), F.col("to").alias("slot"), "bytes")
-    place = store(place.select("block", "part", F.col("slot").alias("shard")), "shard-place")
-    by_key = first.join(place, ["block", "part"]).select("key", "shard")
     chunks = max(1, math.ceil(n_rows / chunk_rows))
     dealt = store(rows.join(by_key, "key").select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")), "shard-dealt")
     counts = dealt.groupBy("shard", "chunk").count()

@@ -28,8 +28,8 @@ def test_classic_example():
 
 
 def test_documents(spark):
-    for blocks in (16384, 5):
-        got = sharding.differencing_shards(documents(spark), 4, block_groups=blocks, fan_in=3, chunk_rows=9).collect()
+    for blocks, large in ((16384, 64), (5, 2), (16384, 1)):
+        got = sharding.differencing_shards(documents(spark), 4, block_groups=blocks, large=large, chunk_rows=9).collect()
         assert len(got) == len(rows())
         slots, totals, at = defaultdict(list), Counter(), {}
         for r in got:
@@ -44,11 +44,23 @@ def test_documents(spark):
             if r[0] is not None:
                 text[r[1]] |= by_id[r[0]]
         assert all(len(s) == 1 for s in text.values())
-        largest = max(Counter({r[1]: len((r[1] or "").encode()) + 16 for r in rows()}).values())
-        assert max(totals.values()) <= max(largest, sum(totals.values()) / 4 + 700)
+        sizes = Counter()
+        for r in rows():
+            sizes[r[1]] += len((r[1] or "").encode()) + 16
+        largest = max(sizes.values())
+        assert max(totals.values()) <= max(largest, sum(totals.values()) / 4) + (0 if blocks > 5 and large == 64 else 700)
     assert sharding.differencing_shards(documents(spark).limit(0), 4).count() == 0
 
 
 def test_reruns_agree(spark):
     a, b = (sorted(map(str, sharding.differencing_shards(documents(spark).repartition(n), 4).collect())) for n in (1, 3))
     assert a == b
+
+
+def test_a_large_group_is_balanced_by_all_blocks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(12000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 30 == 0, F.expr("repeat('copy ', 60)")).otherwise(F.concat(F.expr("repeat('x', cast(50 + id % 400 as int))"), F.col("id").cast("string"))).alias("text"))
+    got = sharding.differencing_shards(docs, 10, block_groups=1000).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    sizes = [r.n for r in got]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) < 0.002 * sum(sizes) / 10
