@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import jaro_winkler
 from ..functions.vectors import cosine, overlap, union_size
 from .checkpoint import cut
 from .graphs import components
@@ -20,6 +21,34 @@ def multisets(items: DataFrame, id_col: str, item_col: str) -> DataFrame:
     return n.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item", "n")))).alias("bag"), F.sum("n").cast("long").alias("size"))
 
 
+def similar_names(names: DataFrame, col: str, least: float, block: int = 1024) -> DataFrame:
+    """`a, b, similarity`: all pairs a < b of distinct names with Jaro-Winkler of at least `least`.
+
+    One common character may be enough for a low threshold, so no key is safe: names are dealt into parts of about `block`, and
+    each pair of parts is a task that compares all its pairs. The work grows with the square of the distinct names.
+    """
+    distinct = cut(names.select(F.col(col).alias("n")).filter("n is not null").distinct())
+    parts = max(1, -(-distinct.count() // block))
+    dealt = distinct.withColumn("i", F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.select("n", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        left, right = pdf.loc[pdf["i"] == lo, "n"].tolist(), pdf.loc[pdf["i"] == hi, "n"].tolist()
+        found = []
+        for x in left:
+            for y in right:
+                if lo == hi and x >= y:
+                    continue
+                a, b = (x, y) if x < y else (y, x)
+                score = jaro_winkler(a, b)
+                if score >= least:
+                    found.append((a, b, score))
+        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+    return dealt.groupBy("lo", "hi").applyInPandas(solve, "a string, b string, similarity double")
+
+
 def similar_multisets(bags: DataFrame, threshold: float) -> DataFrame:
     """`a, b, inter, uni, jaccard`: pairs a < b of class representatives with Jaccard of at least the threshold, exact.
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import jaro_winkler_udf
 from ..functions.vectors import cosine
 from ..operators import beliefs as bl
 from ..operators import callgraph, gate, graphs, groups, intervals, policy, quality, reduction, report, rollup, rules, similarity
@@ -338,10 +337,8 @@ def multiset_jaccard(spark, sf_dir):
 
 @query("name_similarity")
 def name_similarity(spark, sf_dir):
-    """Jaro-Winkler of distinct part names that share a word; SQL engines round transpositions otherwise."""
-    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct().withColumn("w", F.explode(F.split("n", " ")))
-    pairs = names.alias("x").join(names.alias("y"), F.col("x.w") == F.col("y.w")).filter("x.n < y.n").select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
-    return pairs.withColumn("similarity", jaro_winkler_udf("a", "b")).filter("similarity >= 0.5")
+    """Jaro-Winkler of all pairs of distinct part names; SQL engines round transpositions otherwise."""
+    return similarity.similar_names(read(spark, sf_dir, "part"), "p_name", 0.5)
 
 
 def _turns(spark, sf_dir):
