@@ -349,11 +349,12 @@ def _turns(spark, sf_dir):
 
 @query("wl_similarity")
 def wl_similarity(spark, sf_dir):
-    """Graph kernel on conversations, one of each shape; hashes differ between engines, the similarities are tested in Python."""
+    """Graph kernel on conversations, one of each shape, of pairs whose sizes differ by at most a factor of 2; hashes differ between
+    engines, the similarities are tested in Python."""
     turns, edges = _turns(spark, sf_dir)
     shape = turns.groupBy("g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "label"))), lambda x: x["label"]), " ").alias("shape"))
     reps = shape.groupBy("shape").agg(F.min("g").alias("g"), F.size(F.split("shape", " ")).alias("n"))
-    pairs = reps.alias("x").join(reps.alias("y"), (F.col("x.n") == F.col("y.n")) & (F.col("x.g") < F.col("y.g"))).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
+    pairs = reps.alias("x").join(reps.alias("y"), (F.greatest("x.n", "y.n") <= 2 * F.least("x.n", "y.n")) & (F.col("x.g") < F.col("y.g"))).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
     turns, edges = turns.join(reps.select("g"), "g", "left_semi"), edges.join(reps.select("g"), "g", "left_semi")
     return similarity.wl_similarity(similarity.wl_histograms(turns, edges), pairs, similarity.graph_rounds(edges, turns))
 
