@@ -12,7 +12,9 @@ directory u8.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Block, slices, store, table, trimmed
+from .common import Block, ragged, slices, store, table, trimmed
 from .wordpool import WordPool
 
 MAGIC = b"DAC1"
 #: Ids of a segment, about; a longer document makes a longer segment. Small, for Arrow and Parquet count rows, not bytes.
 SEGMENT = 1 << 13
-#: Ranges of ids at most: the totals of all ranges are broadcast.
-RANGES = 10_000
+#: Ranges of ids at most, each a task of its own: as many as a shuffle can well have. Beyond, ranges grow, and their sort spills.
+RANGES = 100_000
+#: Ids that are read for the cut of a range, about; the driver holds RANGES times as many at most.
+CUT_SAMPLE = 50
 
 
 def pack(doc_ids: list, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -115,6 +119,23 @@ class Segment:
 _TOKENIZERS: dict[int, WordPool] = {}
 
 
+def surface_lengths(tokenizer) -> np.ndarray:
+    """How many bytes of text each id stands for: the token's characters without the mark of a word's end. Special tokens: a
+    length that no text has, so that words which hold one are coded alone."""
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+    out = np.full(tokenizer.get_vocab_size(), 1 << 40, np.int64)
+    special = tokenizer.get_added_tokens_decoder()
+    for token, i in tokenizer.get_vocab().items():
+        if i not in special:
+            out[i] = len(token.removesuffix(suffix) if suffix else token)
+    return out
+
+
+def _settled(word: str) -> bool:
+    """Whether lower case and NFC leave the word as it is."""
+    return word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 def _pool(source: str) -> WordPool:
     """This worker's tokenizer with the words it has coded."""
     key = hash(source)
@@ -123,12 +144,33 @@ def _pool(source: str) -> WordPool:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(source)
+        surface = surface_lengths(tokenizer)
 
-        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for a in range(0, len(words), 2000) for e in tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 2000]], add_special_tokens=False)]
+        def one_by_one(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
+        def together(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            """Words as one text; where each ends is known by the lengths of the tokens, which only fall short if one was not kept whole."""
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends, upto = np.cumsum([len(w) for w in words]), np.cumsum(surface[ids])
+            at = np.searchsorted(upto, ends)
+            if at[-1] != len(ids) - 1 or not np.array_equal(upto[at], ends):
+                return one_by_one(words)
+            return ids, np.diff(at, prepend=-1)
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            plain = np.fromiter((w.isascii() or _settled(w.decode()) for w in words), bool, len(words))
+            order = np.argsort(~plain, kind="stable")
+            m, got = int(plain.sum()), []
+            for a, b, run in ((0, m, together), (m, len(words), one_by_one)):
+                got += [run([words[i] for i in order[k : min(k + 2000, b)].tolist()]) for k in range(a, b, 2000)]
+            ids, counts = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+            back = np.empty(len(words), np.int64)
+            back[order] = np.arange(len(words))
+            return ids[ragged((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
+
         _TOKENIZERS.clear()
         _TOKENIZERS[key] = WordPool(encode, 1_000_000)
     return _TOKENIZERS[key]
@@ -150,18 +192,36 @@ def encode_texts(pool: WordPool, column: pa.Array, end_id: int | None) -> tuple[
     return out, before + np.arange(block.n + 1)
 
 
+def range_cuts(ids: DataFrame, rows_per_range: int) -> np.ndarray:
+    """Where ranges of about rows_per_range rows of `id` begin, but for the first: increasing. They only balance tasks; any cuts
+    give the same file. RANGES x CUT_SAMPLE ids, about, reach the driver at most."""
+    n = ids.count()
+    ranges = min(RANGES, -(-n // rows_per_range))
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    share = min(1.0, ranges * CUT_SAMPLE / n)
+    few = ids.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).groupBy("id").agg(F.count("*").alias("n"))
+    rows = sorted((r.id, r.n) for r in few.collect())
+    if not rows:
+        return np.zeros(0, np.int64)
+    value, upto = np.array([v for v, _ in rows], np.int64), np.cumsum([c for _, c in rows])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
+    return np.unique(value[at])
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, rows_per_range: int = 10_000, segment: int = SEGMENT) -> DataFrame:
     """Writes the ids of all texts to segments, in ascending order of id, and returns the files as a table: `range, seq,
     first, n_tokens, payload`, one segment a row, `first` the ids before it in its range, `payload` in the layout above. tokenizer: the JSON of a `tokenizers` tokenizer.
 
-    Ranges of ids are cut by quantiles of the id column alone, so a text is encoded once; only ids are shuffled, in 2 bytes
-    where the vocabulary allows. Spark's committer writes the files to the shared folder, so a lost executor's part is written
-    again. Null ids come first. Rows of equal id stand in the order of their ids' bytes. Null text: empty. Ids must be integers.
+    Ranges of ids are cut by the id column alone, at quantiles of the ids of smallest hash, so a text is encoded once; only ids are
+    shuffled, in 2 bytes where the vocabulary allows, each range to its own task. Spark's committer writes the files to the shared
+    folder, so a lost executor's part is written again. Null ids come first. Rows of equal id stand in the order of their ids'
+    bytes. Null text: empty. Ids must be integers.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = int(min(RANGES, max(1, -(-source.count() // rows_per_range))))
-    cuts = np.unique(np.array(source.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges), dtype=np.float64)) if ranges > 1 else np.zeros(0)
+    cuts = range_cuts(source.select("id"), rows_per_range)
+    ranges = len(cuts) + 1
     vocabulary = spark.sparkContext.broadcast(tokenizer)
     kind = np.uint16
 
@@ -174,7 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 data = ids.astype(kind if narrow else np.uint32)
                 off = at * data.itemsize
                 payload = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-                place = np.searchsorted(cuts, part.column(0).fill_null(-(1 << 62)).to_numpy(), "right")
+                place = np.searchsorted(cuts, part.column(0).fill_null(-(1 << 63)).to_numpy(), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), part.column(0), pa.array([data.itemsize] * part.num_rows, pa.int32()), payload], ["range", "id", "width", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +259,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield flush()
 
     coded = source.mapInArrow(trimmed(encode), "range int, id long, width int, ids binary")
-    files = coded.repartition(ranges, "range").sortWithinPartitions("range", "id", "ids").mapInArrow(trimmed(build), "range int, seq long, first long, n_tokens long, payload binary")
+    files = coded.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "id", "ids").mapInArrow(trimmed(build), "range int, seq long, first long, n_tokens long, payload binary")
     return store(files, "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """From the files of write_tokens: `id, start, n_tokens, ids_crc32` of each document; start counts all ids before it.
 
-    Sums for each range say where a range begins; they are RANGES rows at most, so they are broadcast, and no payload moves.
+    Sums for each range say where a range begins; they are RANGES rows of two longs at most, so they are broadcast, and no payload
+    moves.
     """
     totals = files.groupBy("range").agg(F.sum("n_tokens").alias("n"))
     totals = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
