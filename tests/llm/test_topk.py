@@ -32,13 +32,42 @@ def test_pruning_happens():
     assert j.tolist() == list(range(10))
 
 
+def test_bounds_hold_at_every_depth():
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-50, 51, (200, 5)), rng.integers(-9, 10, (30, 5))
+    lists = topk.Lists(x)
+    exact = q @ x.T
+    for step in range(len(topk.DEPTHS)):
+        t_high, t_low, b_low, b_high = lists.at(step)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        low, high = up @ t_low.T + down @ b_high.T, up @ t_high.T + down @ b_low.T
+        assert (low <= exact).all() and (exact <= high).all()
+    assert (low == exact).all() and (high == exact).all()
+
+
+def test_blocks_before_prune_and_the_share_is_counted():
+    """Random directions are the hardest input; most pairs still end by their bounds before their lists do."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 64))
+    x = np.floor(1024 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    ids, figures = np.arange(6000), {}
+    blocks = [(x[a : a + 1000], ids[a : a + 1000]) for a in range(0, 6000, 1000)]
+    best = topk.scan(x[:70], ids[:70], iter(blocks), 10, figures)
+    got = [(i, int(b), int(s)) for i in range(70) for b, s in zip(best.ids[i], best.scores[i])]
+    exact = x[:70] @ x.T
+    exact[np.arange(70), np.arange(70)] = -(1 << 40)
+    want = [(i, int(j), int(exact[i, j])) for i in range(70) for j in np.lexsort((ids, -exact[i]))[:10]]
+    assert got == want
+    assert figures["pruned"] / figures["pairs"] > 0.95 and figures["read"] / figures["entries"] < 0.95
+
+
 def test_table(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(size=4).tolist(), 7) for i in range(120)]
     data += [(200, None, 1), (300, [1.0, None, 0.0, 0.0], 1), (400, [1.0, float("nan"), 0.0, 0.0], 1), (500, [float("inf")] * 4, 1), (None, [1.0] * 4, 1), (600, [], 1), (7, data[7][1], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")
     ok = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int).tolist() + [0] * (4 - len(v))) for i, v, _ in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
-    for blocks in ({}, {"query_block": 1, "candidate_block": 20}):
+    for blocks in ({}, {"query_bytes": 40, "candidate_block": 20}):
         got = topk.top_k(df, df.filter("vec_id % 100 = 0"), 10, **blocks).collect()
         want = []
         for a in (0, 100, 600):
