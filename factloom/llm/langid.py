@@ -1,13 +1,16 @@
 """Language ID by nearest centroids.
 
 A text is a vector of hashed byte n-grams (orders 1 to 3, of the lower-cased text, runs of ASCII other than letters as one space),
-weighted by TF-IDF and normalised. IDF counts every training document. Each language has several centroids, found by spherical k-means on a bounded
-sample of its training documents. A text gets the language of the centroid with the largest cosine; it is rejected if that
-cosine is below what nearly all training documents of that language reach.
+weighted by TF-IDF and normalised. IDF counts every training document. Each language has several centroids, found by spherical
+k-means on a bounded sample of its training documents. A text gets the language of the centroid with the largest cosine. It is
+rejected if that cosine is below the centroid's floor for texts of its length: short texts are farther from any centroid, so
+floors are measured on pieces of several lengths, cut from the sample.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,8 @@ from .common import Block, slices, table, trimmed
 #: Slots of the hashed n-grams.
 SLOTS = 4096
 UNKNOWN = "und"
+#: Bytes of the pieces that floors are measured on; a text counts as the longest that is not longer than it.
+LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
 #: Bytes as they count: ASCII that is no letter is one kind.
 _PLAIN = np.arange(256, dtype=np.uint32)
 _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -72,7 +77,7 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class LanguageModel:
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # rows of length 1
-    floor: np.ndarray  # cosine below which a text is rejected, by centroid
+    floor: np.ndarray  # cosine below which a text is rejected, by centroid and length
     idf: np.ndarray
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -80,13 +85,14 @@ class LanguageModel:
         lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False)) if len(column) else np.zeros(0, bool)
         langs, score, rejected = [UNKNOWN] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
         if len(self.langs):
+            size = np.searchsorted(LENGTHS, np.asarray(pc.fill_null(pc.binary_length(column), 0)), "right") - 1
             for a in range(0, len(column), 256):
                 cosine = tfidf(gram_counts(column.slice(a, 256), len(self.idf)), self.idf) @ self.centroids.T
                 best = cosine.argmax(axis=1)
                 for i in np.flatnonzero(lettered[a : a + 256]).tolist():
                     langs[a + i] = self.langs[best[i]]
                     score[a + i] = min(1.0, max(0.0, float(cosine[i, best[i]])))
-                    rejected[a + i] = cosine[i, best[i]] < self.floor[best[i]]
+                    rejected[a + i] = cosine[i, best[i]] < self.floor[best[i], max(0, size[a + i])]
         return langs, score, rejected
 
 
@@ -108,41 +114,73 @@ def _spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = 600, reject_share: float = 0.001, slots: int = SLOTS) -> LanguageModel:
+def pieces_of(texts: list[str], n: int) -> list[str]:
+    """A run of about n bytes of each text that has as many; where it begins, the text decides."""
+    out = []
+    for raw in (t.encode() for t in texts):
+        if len(raw) >= n:
+            at = zlib.crc32(raw) % (len(raw) - n + 1)
+            out.append(raw[at : at + n].decode(errors="ignore"))
+    return out
+
+
+def floors(x_of, centroids: np.ndarray, texts: list[str], share: float, slack: float) -> np.ndarray:
+    """For each of LENGTHS the cosine that all but `share` of the pieces reach, times slack; never less than for shorter ones. Where
+    no text is long enough, that of the longest there is."""
+    out, last = [], 0.0
+    for n in LENGTHS:
+        some = pieces_of(texts, n)
+        if some:
+            last = max(last, slack * float(np.quantile((x_of(some) @ centroids.T).max(axis=1), share)))
+        out.append(last)
+    return np.array(out)
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = 600, reject_share: float = 0.001, slack: float = 0.9, slots: int = SLOTS) -> LanguageModel:
     """Learns from all rows of train with a non-null language and a letter in the text.
 
-    Document frequencies count every such row: a sum of `slots` numbers a task. Centroids come from at most `per_language` rows
-    of each language, those of the smallest hash of id (a window that keeps per_language rows a task, so a hot language is not
-    gathered), one task a language. The rejection floor leaves `reject_share` of the sample times 0.3: only texts unlike all training texts, and those without letters, are rejected. The model
-    that reaches the driver has clusters x languages rows. The number of languages must stay below 10,000.
+    Document frequencies count every such row: a sum of `slots` numbers a task. Centroids come from at most `per_language` rows of
+    each language, of the smallest hashes of id and text; rows that repeat both count once. Only rows whose hash is below a bound,
+    which the language's count sets so that about twice as many pass, are shuffled, so a hot language is not gathered. One task a
+    language holds these. Floors leave `reject_share` of the pieces of the sample, times `slack`: what is unlike all training
+    texts, and what has no letter, is rejected. A sample with few texts of a length gives that length a low floor. The model that
+    reaches the driver has clusters x languages rows. The number of languages must stay below 10,000.
     """
     train = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(slots, np.int64)
+        langs, df = Counter(), np.zeros(slots, np.int64)
         for batch in batches:
+            langs.update(batch.column(1).to_pylist())
             for part in slices(batch, "text", 1 << 20):
-                n += part.num_rows
                 for a in range(0, part.num_rows, 256):
                     df += (gram_counts(part.column(0).slice(a, 256), slots) > 0).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, slots), pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["slot", "n"])
-
-    df = {r.slot: r.n for r in train.select("text").mapInArrow(trimmed(frequencies), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
-    n = df.get(-1, 0)
-    idf = np.log((1 + n) / (1 + np.array([df.get(s, 0) for s in range(slots)]))).astype(np.float32) + np.float32(1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = train.select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("id", "lang")
-    sample = train.join(F.broadcast(chosen.distinct()), ["id", "lang"])  # bounded by per_language and the number of languages
+        names = list(langs)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(slots), *[-1] * len(names)], pa.int32()), pa.array([None] * slots + names, pa.string()), pa.array([*df.tolist(), *[langs[x] for x in names]], pa.int64())], ["slot", "lang", "n"])
+
+    sums = train.select("text", "lang").mapInArrow(trimmed(frequencies), "slot int, lang string, n long").groupBy("slot", "lang").agg(F.sum("n").alias("n")).collect()
+    df, sizes = np.zeros(slots), {}
+    for r in sums:
+        if r.slot < 0:
+            sizes[r.lang] = r.n
+        else:
+            df[r.slot] = r.n
+    if not sizes:
+        return LanguageModel([], np.zeros((0, slots), np.float32), np.zeros((0, len(LENGTHS))), np.ones(slots, np.float32))
+    idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + np.float32(1)
+    bounds = train.sparkSession.createDataFrame([(k, min(1 << 30, -(-(2 * per_language << 30) // n))) for k, n in sizes.items()], "own string, bound long")
+    hashed = train.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(bounds), F.col("lang") == F.col("own"))  # one row a language
+    some = hashed.filter(F.pmod("h", F.lit(1 << 30)) < F.col("bound")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    sample = some.withColumn("rank", rank).filter(F.col("rank") <= per_language)
 
     def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "text"], kind="stable").head(per_language)
-        x = np.concatenate([tfidf(gram_counts(pa.array(pdf["text"].iloc[a : a + 64]), slots), idf) for a in range(0, len(pdf), 64)])
-        c = _spherical_means(x, clusters)
-        best = (x @ c.T).max(axis=1)
-        floor = float(np.quantile(best, reject_share)) * 0.3
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "centroid": [row.astype(np.float32).tobytes() for row in c], "floor": floor})
-
-    found = sample.groupBy("lang").applyInPandas(means, "lang string, k int, centroid binary, floor double").collect()
+        texts = pdf.sort_values("rank", kind="stable")["text"].tolist()
+        x_of = lambda some: np.concatenate([tfidf(gram_counts(pa.array(some[a : a + 64]), slots), idf) for a in range(0, len(some), 64)])
+        c = _spherical_means(x_of(texts), clusters)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "centroid": [row.astype(np.float32).tobytes() for row in c], "floor": [floors(x_of, c, texts, reject_share, slack).tolist()] * len(c)})
+
+    found = sample.groupBy("lang").applyInPandas(means, "lang string, k int, centroid binary, floor array<double>").collect()
     found.sort(key=lambda r: (r.lang, r.k))
     return LanguageModel([r.lang for r in found], np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(-1, slots), np.array([r.floor for r in found]), idf)
 
@@ -163,7 +201,8 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with `__lang_rejected` added, by a map that carries all columns along."""
+    """docs with `__lang_rejected` added, by a map that carries all columns along. A column of that name is replaced."""
+    docs = docs.drop("__lang_rejected")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 import zlib
@@ -74,3 +75,54 @@ def test_edges(spark):
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.languages(docs, empty).collect()} == {"und"}
     assert langid.languages(docs.limit(0), model).count() == 0
+
+
+OTHERS = {
+    "pl": "W Polsce jest wiele pięknych miast, które warto zobaczyć. Dzisiaj pogoda jest bardzo ładna i wszyscy chodzą na spacer do parku. ",
+    "fi": "Suomessa on paljon järviä ja metsiä. Tänään on kaunis päivä ja kaikki menevät kävelylle puistoon, koska aurinko paistaa. ",
+    "tr": "Bugün hava çok güzel ve herkes parkta yürüyüşe çıkıyor. Ülkemizde birçok güzel şehir ve köy var, hepsini görmek isterim. ",
+}
+
+
+def test_unlearned_languages_and_blobs_are_rejected_and_clean_texts_stay(spark):
+    docs = corpus(spark, 1200)
+    model = langid.fit(docs.filter(~langid.held_out()))
+    assert (np.diff(model.floor, axis=1) >= 0).all()
+    rng = random.Random(4)
+    strange = [t * 4 for t in OTHERS.values()] + [base64.b64encode(rng.randbytes(600)).decode(), " ".join("".join(rng.choice("bcdfgjkpqvwxyz") for _ in range(6)) for _ in range(90))]
+    _, _, rejected = model.predict(pa.array(strange))
+    assert rejected.all()
+    held = [r.text for r in docs.collect() if r.doc_id < 1200 and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    _, _, rejected = model.predict(pa.array(held + [t[:20] for t in held] + [t[:50] for t in held]))
+    assert rejected.mean() <= 0.005
+
+
+def test_predictions_by_brute_force(spark):
+    docs = corpus(spark)
+    train = docs.filter(~langid.held_out())
+    model = langid.fit(train)
+    rows = [r for r in train.collect() if r.lang is not None and re.search(r"[^\W\d_]", r.text or "")]
+    df = sum((brute_counts(r.text) > 0).astype(int) for r in rows)
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    for r in langid.languages(docs, model).collect():
+        text = next(d.text for d in docs.collect() if d.doc_id == r.id) if r.id in (1, 17, 44, 143, 900) else None
+        if text:
+            x = np.log1p(brute_counts(text)) * idf
+            cosine = model.centroids @ (x / np.linalg.norm(x))
+            assert r.lang_pred == model.langs[int(cosine.argmax())] and abs(r.score - cosine.max()) < 1e-4
+
+
+def test_sample_is_the_rows_of_least_hash_and_repeats_count_once(spark):
+    docs = corpus(spark, 300).filter("lang = 'en' and text is not null")
+    many = docs.union(docs.filter("doc_id = 0").crossJoin(spark.range(400)).select("doc_id", "text", "lang"))
+    a, b = (langid.fit(x, per_language=20, reject_share=0.0, slack=1.0) for x in (docs, docs.repartition(7)))
+    assert np.array_equal(a.centroids, b.centroids) and np.array_equal(a.floor, b.floor)
+    assert langid.fit(many, per_language=1000).centroids.shape == (3, langid.SLOTS)
+
+
+def test_clashing_column_names(spark):
+    docs = corpus(spark).withColumn("__lang_rejected", F.lit(7)).withColumn("lang_pred", F.lit("q"))
+    model = langid.fit(docs)
+    out = langid.with_language(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "__lang_rejected"] and out.filter("__lang_rejected").count() >= 3
