@@ -68,7 +68,16 @@ def test_lcp_order():
     assert order.tolist()[5:] == [7, 6, 5] and lcp.tolist()[5:] == [0, 1, 2]
 
 
-def test_query(spark):
-    got = {(r.id, r.n_words, r.n_repeat_words) for r in rep.repetition_rules(documents(spark)).collect()}
-    assert got == {(r[0], brute(r[1])["n_words"], brute(r[1])["n_repeat_words"]) for r in rows() if len(r[1] or "") < 3000} | {g for g in got if g[1] > 1000}
+def verdict(text):
+    b = brute(text, least=5)
+    failed = b["n_words"] < 20 or 100 * b["n_repeat_words"] > 30 * b["n_words"]
+    return failed, not failed and 100 * b["n_covered_words"] <= 30 * b["n_words"] and b["longest_repeat"] <= 64
+
+
+def test_query(spark, tmp_path):
+    """All rows and the verdict, the long texts of the table too."""
+    documents(spark).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in rep.op4_repetition(spark, f"file://{tmp_path}").collect()}
+    long = {t for t in texts() if len(t or "") >= 3000}
+    assert got == {(r[0], brute(r[1])["n_words"], brute(r[1])["n_repeat_words"], *verdict(r[1])) for r in rows()} and long
     assert rep.repetition_rules(documents(spark).limit(0)).count() == 0
