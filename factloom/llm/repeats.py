@@ -1,24 +1,29 @@
 """Suffix-array removal of strings that occur earlier.
 
-What may match is found first, what does match then by suffix arrays. Every window of `window` bytes is assigned to the k-gram
-in it with the least hash (the first of equals), so equal windows, wherever they stand, are assigned to equal k-grams at equal
-offsets. A run of windows with one such anchor is a context: one in about 40 bytes of text. Contexts that are equal as a whole are
-settled by their hashes (104 bits): all but the earliest are covered. Of the others only those whose k-gram occurs in another
-context can hold a repeat; their bytes are fetched, dealt out by k-gram, and go to a logarithmic index family: each new batch, in
-document order, gets a suffix array of its windows, is merge-scanned against the levels there are, and levels of equal size merge
-geometrically. A k-gram in very many contexts is dealt out by the windows' bytes instead, so no task grows with it.
+Every window of `window` bytes is assigned to the k-gram in it with the least hash (the first of equals), so equal windows, wherever
+they stand, are assigned to equal k-grams at equal offsets. A run of windows with one such anchor is a context: one in about 40 bytes
+of text. Only contexts whose k-gram is the anchor of another can hold a repeat: this selects candidates, and nothing else is decided
+by a hash. Their bytes are fetched, dealt out by k-gram, and go to a logarithmic index family: each new batch, in document order, gets
+a suffix array of its windows, is merge-scanned against the suffix arrays of the levels there are, and levels of equal size merge
+geometrically. Windows that a level or the batch has already are repeats.
+
+A k-gram in very many contexts is dealt out twice: first at random, in parts of a bounded number, where what is not the part's first
+is found; what is left, one window for each part at most, is dealt out by the windows' bytes. So no task grows with it.
+
+`without_repeats` indexes one table. `SuffixIndex` keeps the levels in a shared folder, so that later batches meet them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +31,7 @@ from .common import Block, ragged, slices, store, table, trimmed
 
 WINDOW = 100
 GRAM = 24
-#: Contexts of one k-gram above which it is dealt out by the windows' bytes.
+#: Contexts of one k-gram above which it is dealt out twice, and of each part then.
 HOT = 4096
 #: Contexts of a shard, about, and of a batch in it.
 SHARD, BATCH = 12_000, 3_000
@@ -53,9 +58,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def contexts(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
     """The contexts of the documents off[d]..off[d+1] of buf (under 16 MB): doc, m (place of the k-gram in the document), lo and hi
-    (m minus the first and the last window's start), h (40 bits of the k-gram's hash), c (64 bits of the context's)."""
+    (m minus the first and the last window's start), h (40 bits of the k-gram's hash)."""
     n = len(buf)
-    out = {k: np.zeros(0, np.int64) for k in ("doc", "m", "lo", "hi", "h", "c")}
+    out = {k: np.zeros(0, np.int64) for k in ("doc", "m", "lo", "hi", "h")}
     if n < window:
         return out
     values, powers, inverse = _constants(1 << max(20, (n + 1).bit_length()))
@@ -82,9 +87,7 @@ def contexts(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int =
     first = np.flatnonzero(new)
     a, b, m = s[first], s[np.append(first[1:], len(s)) - 1], at[first]
     doc = np.searchsorted(off, a, "right") - 1
-    whole = (total[b + window] - total[a]) * inverse[a]
-    c = _mix(whole ^ _mix(((m - a).astype(np.uint64) << np.uint64(32)) | (b - a).astype(np.uint64)))
-    return {"doc": doc, "m": m - off[doc], "lo": m - a, "hi": m - b, "h": (key[m] >> np.uint64(24)).astype(np.int64), "c": c.view(np.int64)}
+    return {"doc": doc, "m": m - off[doc], "lo": m - a, "hi": m - b, "h": (key[m] >> np.uint64(24)).astype(np.int64)}
 
 
 def merged_spans(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,217 +114,343 @@ def _unpack(p):
     return p >> 14, (p >> 7) & 127, p & 127
 
 
-_FOUND = T.StructType([T.StructField(k, T.LongType()) for k in ("h", "c", "id", "p")])
+#: What a task of the family gives: spans (kind 0: batch, id, s, e), windows that are the first of their part (kind 1: batch, id, s,
+#: buf), levels (kind 2: shard, s and e their first and last number, buf, sa).
+_MADE = "kind int, shard int, batch int, id long, s long, e long, buf binary, sa binary"
+#: What it reads, sorted by the first five: levels (kind 0: id and at their first and last number) and pieces (kind 1) of n windows.
+_PIECES = "shard int, kind int, batch int, id long, at long, n int, buf binary, sa binary"
+
 
+def _made(kind: int, shard: int, batch, ids, s, e, buf=None, sa=None) -> pa.RecordBatch:
+    n = len(ids)
+    none = pa.nulls(n, pa.binary())
+    ints = [pa.array(np.full(n, x, np.int32)) for x in (kind, shard)] + [pa.array(np.asarray(batch, np.int32))]
+    return pa.RecordBatch.from_arrays([*ints, *(pa.array(np.asarray(x, np.int64)) for x in (ids, s, e)), none if buf is None else buf, none if sa is None else sa], ["kind", "shard", "batch", "id", "s", "e", "buf", "sa"])
 
-def _found(h, c, ids, p) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (h, c, ids, p)], _FOUND.names)
 
+def _binary(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """buf[start[i] : start[i] + size[i]] for all i."""
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(buf[ragged(start, size)]))])
 
-def _spans(ids, s, e) -> pa.RecordBatch:
-    """Spans travel with the contexts: h is negative, c the start, p the end."""
-    ids, s, e = merged_spans(np.asarray(ids), np.asarray(s), np.asarray(e))
-    return _found(-1 - (ids & 0xFFFF), s, ids, e)
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column as one run, and where each value begins (n + 1 long)."""
+    column = column.cast(pa.binary())
+    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)), off - off[0]
 
-def _text_contexts(window: int, gram: int, piece: int = (1 << 20) - 128):
-    """Contexts of whole texts. Of those equal within a part of a batch only the earliest goes on; a hot one is one row a part."""
+
+def _anchors(window: int, gram: int, piece: int = (1 << 20) - 128):
+    """Rows `h, id, p` of all contexts of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 ids, block = np.asarray(part.column(0)), Block(part.column(1))
-                got = []
                 for at in range(0, max(1, len(block.buf) - window + 1), piece):  # only one very long document takes several turns
                     buf = block.buf[at : at + piece + window - 1]
                     x = contexts(buf, np.clip(block.off - at, 0, len(buf)), window, gram)
-                    x["m"] = x["m"] + np.where(block.off[x["doc"]] < at, at - block.off[x["doc"]], 0)
-                    got.append(x)
-                x = {k: np.concatenate([y[k] for y in got]) for k in got[0]}
-                if not len(x["m"]):
-                    continue
-                own = ids[x["doc"]]
-                order = np.lexsort((x["m"], own, x["c"], x["h"]))
-                own, x = own[order], {k: v[order] for k, v in x.items()}
-                new = np.ones(len(own), bool)
-                new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])
-                lead = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-                later = (own != own[lead]) | (x["m"] != x["m"][lead])
-                yield _found(x["h"][new], x["c"][new], own[new], _pack(x["m"], x["lo"], x["hi"])[new])
-                if later.any():
-                    start = (x["m"] - x["lo"])[later]
-                    yield _spans(own[later], start, (x["m"] - x["hi"])[later] + window)
+                    m = x["m"] + np.where(block.off[x["doc"]] < at, at - block.off[x["doc"]], 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x["h"], pa.int64()), pa.array(ids[x["doc"]], pa.int64()), pa.array(_pack(m, x["lo"], x["hi"]), pa.int64())], ["h", "id", "p"])
 
     return run
 
 
-def _settle(window: int):
-    """Reads rows sorted by (h, c, id, p). Yields spans for all but the earliest of equal contexts, and the earliest of each where
-    its k-gram has another. Holds one row between batches."""
+def _fetch(window: int, most: int = 4 << 20):
+    """From documents `batch, id, text, asked` to the pieces asked of them; `most` bytes of pieces at once, about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = None, False
         for batch in batches:
-            h, c, ids, p = (np.asarray(x) for x in batch.columns)
-            ready = h < 0
-            if ready.any():
-                yield _found(h[ready], c[ready], ids[ready], p[ready])
-                h, c, ids, p = h[~ready], c[~ready], ids[~ready], p[~ready]
-            if not len(h):
-                continue
-            if held is not None:
-                h, c, ids, p = (np.append(a, b) for a, b in zip(held, (h, c, ids, p)))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            later = (ids != ids[lead]) | (p != p[lead])
-            if later.any():
-                m, lo, hi = _unpack(p[later])
-                yield _spans(ids[later], m - lo, m - hi + window)
-            first = np.flatnonzero(new)
-            same = h[first[1:]] == h[first[:-1]]
-            need = np.append(same, False) | np.append(before, same)
-            give = first[:-1][need[:-1]]
-            if len(give):
-                yield _found(h[give], c[give], ids[give], p[give])
-            held, before = tuple(v[first[-1:]] for v in (h, c, ids, p)), bool(need[-1])
-        if held is not None and before:
-            yield _found(*held)
+            for part in slices(batch, "text", most):
+                block, asked = Block(part.column(2)), part.column(3)
+                doc = np.repeat(np.arange(block.n), np.asarray(asked.value_lengths()))
+                p, shard = (np.asarray(asked.flatten().field(k)) for k in ("p", "shard"))
+                m, lo, hi = _unpack(p)
+                n, start = lo - hi + 1, block.off[doc] + m - lo
+                upto = np.cumsum(n + window - 1)
+                at = 0
+                while at < len(n):
+                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                    x = slice(at, end)
+                    rows = pa.array(doc[x])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[x]), pa.array(np.ones(end - at, np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array((m - lo)[x]), pa.array(n[x].astype(np.int32)), _binary(block.buf, start[x], n[x] + window - 1), pa.nulls(end - at, pa.binary())], ["shard", "kind", "batch", "id", "at", "n", "buf", "sa"])
+                    at = end
 
     return run
 
 
-def _fetch(window: int, shards: int):
-    """From documents with the contexts asked of them: rows `shard, id, at, n, bytes` of n windows from `at` on."""
+def window_keys(buf: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The windows at these places, comparable; with a last byte, for numpy drops zeros at the end."""
+    keys = np.ones((len(at), window + 1), np.uint8)
+    if len(at):
+        keys[:, :-1] = np.lib.stride_tricks.sliding_window_view(buf, window)[at]
+    return keys.view(f"S{window + 1}").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard, own, at, n, data = [], [], [], [], []
-            for ids, text, asked in zip(*(c for c in batch.columns)):
-                raw, ids = text.as_buffer().to_pybytes(), ids.as_py()
-                for x in asked.as_py():
-                    m, lo, hi = _unpack(x["p"])
-                    a, b = m - lo, m - hi
-                    if x["hot"]:
-                        pieces = [(s, 1, raw[s : s + window]) for s in range(a, b + 1)]
-                        shard += [zlib.crc32(y) % shards for _, _, y in pieces]
-                    else:
-                        pieces = [(a, b - a + 1, raw[a : b + window])]
-                        shard.append(x["h"] % shards)
-                    for s, k, y in pieces:
-                        own.append(ids)
-                        at.append(s)
-                        n.append(k)
-                        data.append(y)
-                if len(own) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["shard", "id", "at", "n", "bytes"])
-                    shard, own, at, n, data = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["shard", "id", "at", "n", "bytes"])
 
-    return run
+def merge_scan(level: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """Which of the batch's keys the level has; both sorted and distinct. A stable sort of two runs is their merge."""
+    both = np.concatenate([level, batch])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    out = np.zeros(len(batch), bool)
+    out[order[1:][both[1:] == both[:-1]] - len(level)] = True
+    return out
+
+
+@dataclass
+class Level:
+    """A suffix array cut at the window: places of distinct windows in buf, in their order; of batches first to last."""
+
+    buf: np.ndarray
+    sa: np.ndarray
+    first: int
+    last: int
+    stored: bool = False
+    keys: np.ndarray | None = field(default=None, repr=False)
 
 
 class SuffixLevels:
-    """The index family: levels of sorted distinct suffixes, cut at `window` bytes. Each level is over twice the next."""
+    """The index family: each level is over twice the next."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.levels = window, []
+        self.window, self.levels, self.next = window, [], 0
+
+    def load(self, buf: np.ndarray, sa: np.ndarray, first: int, last: int) -> None:
+        """A stored level, the older ones first."""
+        self.levels.append(Level(buf, sa, first, last, True))
+        self.next = max(self.next, last + 1)
+
+    def _keys(self, level: Level) -> np.ndarray:
+        if level.keys is None:
+            level.keys = window_keys(level.buf, level.sa, self.window)
+        return level.keys
 
     def add(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Indexes the windows at starts, in order; which of them occur earlier, in the levels or in this batch."""
-        keys = np.ones((len(starts), self.window + 1), np.uint8)  # a last byte, for numpy drops zeros at the end
-        keys[:, :-1] = np.lib.stride_tricks.sliding_window_view(buf, self.window)[starts]
-        keys = keys.view(f"S{self.window + 1}").ravel()
+        keys = window_keys(buf, starts, self.window)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         again = np.zeros(len(keys), bool)
         again[1:] = keys[1:] == keys[:-1]
+        first = np.flatnonzero(~again)
+        own, known = keys[first], np.zeros(len(first), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            again |= level[at] == keys
-        if not again.all():
-            self.levels.append(keys[~again])
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(), self.levels.pop()])
-            both.sort(kind="stable")
-            self.levels.append(both)
+            known |= merge_scan(self._keys(level), own)
+        again[first[known]] = True
+        if not known.all():
+            self.levels.append(self._level(buf, starts[order[first[~known]]], own[~known]))
+        while len(self.levels) > 1 and len(self.levels[-2].sa) <= 2 * len(self.levels[-1].sa):
+            b, a = self.levels.pop(), self.levels.pop()
+            both = np.concatenate([self._keys(a), self._keys(b)])
+            merged = np.argsort(both, kind="stable")
+            sa = np.concatenate([a.sa, b.sa + len(a.buf)])[merged]
+            self.levels.append(Level(np.concatenate([a.buf, b.buf]), sa, a.first, b.last, keys=both[merged]))
         out = np.empty(len(keys), bool)
         out[order] = again
         return out
 
+    def _level(self, buf: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> Level:
+        """A level of one batch; bytes that no window covers are left out."""
+        cover = np.zeros(len(buf) + 1, np.int32)
+        np.add.at(cover, sa, 1)
+        np.add.at(cover, sa + self.window, -1)
+        keep = np.cumsum(cover[:-1]) > 0
+        self.next += 1
+        return Level(buf[keep], (np.cumsum(keep) - 1)[sa], self.next - 1, self.next - 1, keys=keys)
 
-def _match(window: int, batch_rows: int):
-    """Reads rows sorted by (shard, id, at): a family for each shard, batches in document order. Yields spans."""
+
+def _match(window: int, batch_rows: int, parts_from: int, keep: bool):
+    """Reads rows of _PIECES: a family for each shard, which begins with its stored levels; batches in document order. Shards from
+    parts_from on are parts of hot k-grams: they also give the windows that they have first. With keep, new levels are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, current, rows = SuffixLevels(window), None, []
+        family, current, held, rows = SuffixLevels(window), None, [], 0
 
         def work():
-            ids, at, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-            data = [r[4] for r in rows]
-            size = np.array([len(y) for y in data], np.int64)
-            first = np.cumsum(size) - size
-            again = family.add(np.frombuffer(b"".join(data), np.uint8), ragged(first, n))
-            s = ragged(at, n)[again]
-            return _spans(np.repeat(ids, n)[again], s, s + window)
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            came, ids, at, n = (np.asarray(part.column(k)).astype(np.int64) for k in ("batch", "id", "at", "n"))
+            buf, off = _flat(part.column("buf"))
+            doc = np.cumsum((np.diff(ids, prepend=ids[0]) != 0) | (np.diff(came, prepend=came[0]) != 0))
+            lead = np.searchsorted(doc, np.arange(doc[-1] + 1))
+            starts, own, s = ragged(off[:-1], n), np.repeat(doc, n), ragged(at, n)
+            again = family.add(buf, starts)
+            gone, a, e = merged_spans(own[again], s[again], s[again] + window)
+            yield _made(0, current, came[lead][gone], ids[lead][gone], a, e)
+            if current >= parts_from:
+                left = np.flatnonzero(~again)
+                for k in range(0, len(left), 20_000):
+                    x = left[k : k + 20_000]
+                    yield _made(1, current, came[lead][own[x]], ids[lead][own[x]], s[x], s[x], _binary(buf, starts[x], np.full(len(x), window)))
+
+        def done():
+            if held:
+                yield from work()
+            if keep and current is not None and current < parts_from:
+                for x in family.levels:
+                    if not x.stored:
+                        yield _made(2, current, [0], [0], [x.first], [x.last], pa.array([x.buf.tobytes()], pa.binary()), pa.array([x.sa.astype(np.int64).tobytes()], pa.binary()))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (row[0] != current or len(rows) >= batch_rows):
-                    yield work()
-                    rows = []
-                if row[0] != current:
-                    family, current = SuffixLevels(window), row[0]
-                rows.append(row)
-        if rows:
-            yield work()
+            shard, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1]))) if len(shard) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shard)]):
+                if shard[a] != current:
+                    yield from done()
+                    family, current, held, rows = SuffixLevels(window), int(shard[a]), [], 0
+                if kind[a] == 0:
+                    for i in range(a, b):
+                        family.load(np.frombuffer(batch.column(6)[i].as_py(), np.uint8), np.frombuffer(batch.column(7)[i].as_py(), np.int64), batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
+                    continue
+                while a < b:
+                    take = min(int(b - a), batch_rows - rows)
+                    held.append(batch.slice(int(a), take))
+                    rows, a = rows + take, a + take
+                    if rows >= batch_rows:
+                        yield from work()
+                        held, rows = [], 0
+        yield from done()
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            ids, texts, spans = part.columns
-            size, removed, runs, digest = [], [], [], []
-            for text, own in zip(texts, spans.to_pylist()):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                kept, at, gone, k = [], 0, 0, 0
-                for x in own or ():
-                    s, e = max(x["s"], at if k else 0), x["e"]
-                    if k == 0 or x["s"] > at:
-                        k += 1
-                        kept.append(raw[at : x["s"]])
-                        s = x["s"]
-                    if e > s:
-                        gone += e - s
-                        at = max(at, e)
-                kept.append(raw[at:])
-                size.append(len(raw))
-                removed.append(gone)
-                runs.append(k)
-                digest.append(hashlib.sha256(b"".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _by_bytes(window: int, shards: int):
+    """Windows that are the first of their part, to pieces dealt out by their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            buf, off = _flat(batch.column(3))
+            values, powers, _ = _constants(1 << 20)
+            h = _mix((values[buf] * powers[np.arange(len(buf)) % window]).reshape(-1, window).sum(axis=1, dtype=np.uint64))
+            shard = (h % np.uint64(shards)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.ones(n, np.int32)), batch.column(0), batch.column(1), batch.column(2), pa.array(np.ones(n, np.int32)), batch.column(3), pa.nulls(n, pa.binary())], ["shard", "kind", "batch", "id", "at", "n", "buf", "sa"])
+
+    return run
+
+
+def _dealt(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("shard").sortWithinPartitions("shard", "kind", "batch", "id", "at")
+
+
+def _pieces(docs: DataFrame, contexts: DataFrame, shards: int, window: int, hot: int) -> DataFrame:
+    """docs: `batch, id, text`; contexts: `batch, h, id, p, n`, n the contexts of the k-gram. They are dealt out by k-gram, or, if that
+    has over `hot` contexts, by k-gram and part, into shards of their own."""
+    part = F.pmod(F.xxhash64("batch", "id", "p"), F.ceil(F.col("n") / F.lit(hot)))
+    shard = F.when(F.col("n") > hot, F.lit(shards) + F.pmod(F.xxhash64("h", part), F.lit(shards))).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))
+    asked = contexts.groupBy("batch", "id").agg(F.collect_list(F.struct("p", shard.cast("int").alias("shard"))).alias("asked"))
+    return docs.join(asked, ["batch", "id"]).select("batch", "id", "text", "asked").mapInArrow(trimmed(_fetch(window)), _PIECES)
+
+
+def _left(made: DataFrame, window: int, shards: int) -> DataFrame:
+    return made.filter("kind = 1").select("batch", "id", "s", "buf").mapInArrow(trimmed(_by_bytes(window, shards)), _PIECES)
 
 
 def repeat_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, batch: int = BATCH) -> DataFrame:
     """`id, spans`: of each document of docs (`id` long, unique; `text`) that has any, the byte spans [s, e) to remove, by start;
     they may overlap or touch."""
-    rows = docs.mapInArrow(trimmed(_text_contexts(window, gram)), _FOUND)
-    settled = store(rows.repartition("h").sortWithinPartitions("h", "c", "id", "p").mapInArrow(trimmed(_settle(window)), _FOUND), "repeat-settled")
-    spans = settled.filter("h < 0").select("id", F.col("c").alias("s"), F.col("p").alias("e"))
-    need = settled.filter("h >= 0").select("h", "id", "p")
-    n = need.count()
-    if n:
-        common = need.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-        asked = need.join(common, "h", "left").groupBy("id").agg(F.collect_list(F.struct("p", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-        shards = max(1, -(-n // shard))
-        pieces = docs.select("id", F.col("text").cast("binary").alias("text")).join(asked, "id").mapInArrow(trimmed(_fetch(window, shards)), "shard int, id long, at long, n int, bytes binary")
-        matched = store(pieces.repartition("shard").sortWithinPartitions("shard", "id", "at").mapInArrow(trimmed(_match(window, batch)), _FOUND), "repeat-matched")
-        spans = spans.union(matched.select("id", F.col("c").alias("s"), F.col("p").alias("e")))
+    one = F.lit(0).alias("batch")
+    anchors = store(docs.mapInArrow(trimmed(_anchors(window, gram)), "h long, id long, p long"), "repeat-anchors")
+    again = store(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-grams")
+    n, most = again.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    shards = max(1, -(-n // shard))
+    pieces = _pieces(docs.select(one, "id", "text"), anchors.join(again, "h").select(one, "h", "id", "p", "n"), shards, window, hot)
+    made = store(_dealt(pieces).mapInArrow(trimmed(_match(window, batch, shards, False)), _MADE), "repeat-made")
+    spans = made.filter("kind = 0").select("id", "s", "e")
+    if most > hot:
+        shards = max(1, -(-made.filter("kind = 1").count() // (32 * shard)))
+        more = store(_dealt(_left(made, window, shards)).mapInArrow(trimmed(_match(window, 32 * batch, shards, False)), _MADE), "repeat-more")
+        spans = spans.union(more.filter("kind = 0").select("id", "s", "e"))
     return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
+class SuffixIndex:
+    """The family in a folder that all executors share: documents, anchors and levels of all batches, a row a level and shard.
+
+    `add(docs)` indexes a batch (`id` long, unique; `text`) and returns `id, spans` of what occurs earlier: in a batch before, or in
+    this one before it. Levels that a batch merged stand in for the ones they came from; those stay where they are. A k-gram's
+    contexts are fetched when it is found to be an anchor again, which may be batches later; when it gets hot, its windows go to the
+    shards by bytes. When shards have grown over twice as large as asked for, the index is built anew with more of them.
+
+    A batch counts once its row in the folder `batches` is written; what a failed one left is overwritten.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, batch: int = BATCH):
+        self.spark, self.path = spark, path
+        self.window, self.gram, self.hot, self.shard, self.batch = window, gram, hot, shard, batch
+
+    def _read(self, name: str, schema) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _state(self) -> tuple[int, int, int]:
+        """Batches so far, the build that counts, its number of shards."""
+        last = self._read("batches", "batch int, build int, shards int").orderBy(F.desc("batch")).head(1)
+        return (last[0].batch + 1, last[0].build, last[0].shards) if last else (0, 0, 0)
+
+    def _upto(self, name: str, schema: str, batch: int) -> DataFrame:
+        """Rows of the batches before this one, with `batch`."""
+        return self._read(name, f"{schema}, batch int").filter(F.col("batch") < batch)
+
+    def _levels(self, folder: str, batch: int) -> DataFrame:
+        """Levels as rows of _PIECES, without those that a later one stands in for: their numbers lie within its own."""
+        rows = self._upto(folder, "shard int, s long, e long, buf binary, sa binary", batch)
+        before = F.max("e").over(Window.partitionBy("shard").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
+        live = rows.select("shard", "s", "e").withColumn("before", before).filter("before is null or e > before").drop("before")
+        return rows.join(live, ["shard", "s", "e"]).select("shard", F.lit(0).alias("kind"), F.lit(-1).alias("batch"), F.col("s").alias("id"), F.col("e").alias("at"), F.lit(0).alias("n"), "buf", "sa")
+
+    def _scan(self, pieces: DataFrame, folder: str, batch: int, rows: int, shards: int) -> DataFrame:
+        both = _dealt(pieces.union(self._levels(folder, batch)))
+        made = store(both.mapInArrow(trimmed(_match(self.window, rows, shards, True)), _MADE), "index-made")
+        made.filter("kind = 2").select("shard", "s", "e", "buf", "sa").write.mode("overwrite").parquet(f"{self.path}/{folder}/batch={batch}")
+        return made
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        batch, build, shards = self._state()
+        docs.select(F.col("id").cast("long").alias("id"), "text").write.mode("overwrite").parquet(f"{self.path}/docs/batch={batch}")
+        texts = self._upto("docs", "id long, text string", batch + 1)
+        fresh = texts.filter(F.col("batch") == batch).select("id", "text")
+        fresh.mapInArrow(trimmed(_anchors(self.window, self.gram)), "h long, id long, p long").write.mode("overwrite").parquet(f"{self.path}/anchors/batch={batch}")
+        anchors, new = self._upto("anchors", "h long, id long, p long", batch + 1), F.col("batch") == batch
+        grams = store(anchors.groupBy("h").agg(F.count_if(~new).alias("old"), F.count("*").alias("n")).filter("n > 1"), "index-grams")
+        total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        wanted = anchors.join(grams, "h")
+        if not shards or total > 2 * shards * self.shard:
+            build, shards = build + 1, max(1, -(-total // self.shard))
+        else:  # of the batches before, what has not been asked for yet
+            late = (F.col("old") == 1) | ((F.col("n") > self.hot) & (F.col("old") <= self.hot))
+            wanted = wanted.filter(new | ((F.col("n") > F.col("old")) & late))
+        pieces = _pieces(texts.select("batch", "id", "text"), wanted.select("batch", "h", "id", "p", "n"), shards, self.window, self.hot)
+        made = self._scan(pieces, f"levels/build={build}/grams", batch, self.batch, shards)
+        more = self._scan(_left(made, self.window, shards), f"levels/build={build}/bytes", batch, 32 * self.batch, shards)
+        self.spark.createDataFrame([(batch, build, shards)], "batch int, build int, shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        spans = made.union(more).filter((F.col("kind") == 0) & new)
+        return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            block, spans = Block(part.column(1)), part.column(2)
+            doc = np.repeat(np.arange(block.n), np.asarray(pc.fill_null(spans.value_lengths(), 0)))
+            flat = spans.flatten()
+            doc, s, e = merged_spans(doc, np.asarray(flat.field("s")), np.asarray(flat.field("e")))
+            edge = np.zeros(len(block.buf) + 1, np.int8)
+            edge[block.off[doc] + s] += 1  # merged spans of a document neither touch nor overlap
+            np.add.at(edge, block.off[doc] + e, -1)
+            kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            off = np.concatenate([[0], np.cumsum(kept)])[block.off]
+            data = memoryview(np.ascontiguousarray(block.buf[kept]))
+            digest = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            counts = [block.lengths, block.lengths - np.diff(off), np.bincount(doc, minlength=block.n)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(np.int64)) for x in counts), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **options) -> DataFrame:
     """For each row of docs: `id, n_bytes, n_removed, n_spans, kept_sha256`: what is left once each byte is removed that is
     covered by a string of `window` bytes which also starts earlier (smaller id, or same document and earlier start).
@@ -344,7 +473,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = store(tagged.join(order, F.col("id").eqNullSafe(F.col("own")) & (F.col("tag") == F.col("own_tag"))).select("place", F.col("id").alias("own"), "text"), "repeat-placed")
         keyed = placed.select(F.col("place").alias("id"), "text")
     spans = repeat_spans(keyed.dropDuplicates(["id"]) if not plain else keyed, window, gram, **options)
-    cut = keyed.join(spans, "id", "left").select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(trimmed(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = keyed.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(trimmed(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if plain:
         return cut.withColumn("id", F.col("id").cast(kind))
     back = placed.select("place", "own").distinct()

@@ -70,8 +70,12 @@ def test_levels(batches):
             want.append(s in seen)
             seen.add(s)
         assert got.tolist() == want
-        sizes = [len(x) for x in family.levels]
+        sizes = [len(x.sa) for x in family.levels]
         assert all(a > 2 * z for a, z in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+        for x in family.levels:  # suffix arrays: places in the order of their windows
+            windows = [bytes(x.buf[i : i + 4]) for i in x.sa]
+            assert windows == sorted(set(windows))
+        assert [x.first for x in family.levels] == [0, *[x.last + 1 for x in family.levels]][: len(family.levels)]
 
 
 def test_documents_by_brute_force(spark):
@@ -106,13 +110,42 @@ def test_text_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array([5, 9]), pa.array([text, "zz" + text[500:900]])], ["id", "text"])
     found = set()
     for piece in (1 << 22, 700):
-        rows = [r for b in repeats._text_contexts(100, 24, piece)([batch]) for r in b.to_pylist()]
-        windows = {(r["id"], s) for r in rows if r["h"] >= 0 for m, lo, hi in [repeats._unpack(r["p"])] for s in range(m - lo, m - hi + 1)}
-        windows |= {(r["id"], s) for r in rows if r["h"] < 0 for s in range(r["c"], r["p"] - 99)}
-        found.add(frozenset(windows))
+        rows = [r for b in repeats._anchors(100, 24, piece)([batch]) for r in b.to_pylist()]
+        found.add(frozenset((r["id"], s) for r in rows for m, lo, hi in [repeats._unpack(r["p"])] for s in range(m - lo, m - hi + 1)))
     assert len(found) == 1 and {s for i, s in next(iter(found)) if i == 5} == set(range(2901))
 
 
+def test_batches_meet_the_levels_before(spark, tmp_path):
+    """Batches one by one give what brute force gives for all of them, in order; with hot k-grams and an index built anew."""
+    data = [(i * 2, t) for i, t in enumerate(corpus(5, 50))]
+    cuts = [0, 3, 4, 20, 21, 40, len(data)]
+    seen, want = set(), {}
+    for key, text in data:
+        raw = (text or "").encode()
+        want[key] = {s for s in range(len(raw) - 99) if raw[s : s + 100] in seen or raw[s : s + 100] in {raw[i : i + 100] for i in range(s)}}
+        seen |= {raw[i : i + 100] for i in range(len(raw) - 99)}
+    for name, options in (("plain", {"batch": 5}), ("hot", {"hot": 2, "shard": 40, "batch": 7}), ("anew", {"shard": 3, "batch": 2})):
+        index = repeats.SuffixIndex(spark, f"file://{tmp_path}/{name}", **options)
+        got = {}
+        for a, b in zip(cuts, cuts[1:]):
+            docs = spark.createDataFrame(data[a:b], "id long, text string")
+            spans = {r.id: r.spans for r in index.add(docs).collect()}
+            assert set(spans) <= {k for k, _ in data[a:b]}
+            got |= spans
+        cover = lambda places: {p for s in places for p in range(s, s + 100)}
+        for key, _ in data:
+            assert {p for x in got.get(key, []) for p in range(x["s"], x["e"])} == cover(want[key]), (name, key)
+        assert index._state()[0] == len(cuts) - 1 and (name != "anew" or index._state()[1] > 1)
+
+
+def test_a_hot_passage_is_dealt_out(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    data = [(i, f"{rng.random()} " + passage + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 90)))) for i in range(300)]
+    got = repeats.without_repeats(spark.createDataFrame(data, "doc_id long, text string"), hot=16, shard=200).collect()
+    assert {r.id: tuple(r)[1:] for r in got} == brute(data, 100)
+
+
 def test_window_must_fit(spark):
     with pytest.raises(ValueError):
         repeats.without_repeats(documents(spark), window=20)
