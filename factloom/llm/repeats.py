@@ -3,12 +3,13 @@
 Every window of `window` bytes is assigned to the k-gram in it with the least hash (the first of equals), so equal windows, wherever
 they stand, are assigned to equal k-grams at equal offsets. A run of windows with one such anchor is a context: one in about 40 bytes
 of text. Only contexts whose k-gram is the anchor of another can hold a repeat: this selects candidates, and nothing else is decided
-by a hash. Their bytes are fetched, dealt out by k-gram, and go to a logarithmic index family: each new batch, in document order, gets
-a suffix array of its windows, is merge-scanned against the suffix arrays of the levels there are, and levels of equal size merge
-geometrically. Windows that a level or the batch has already are repeats.
+by a hash. Within some texts of a scan they get a suffix array at once; contexts all of whose windows it has earlier go no further.
+The bytes of the others are fetched, dealt out by k-gram, and go to a logarithmic index family: each new batch, in document order,
+gets a suffix array of its windows, is merge-scanned against the suffix arrays of the levels there are, and levels of equal size
+merge geometrically. Windows that a level or the batch has already are repeats.
 
-A k-gram in very many contexts is dealt out twice: first at random, in parts of a bounded number, where what is not the part's first
-is found; what is left, one window for each part at most, is dealt out by the windows' bytes. So no task grows with it.
+A k-gram in very many contexts is dealt out twice: first in parts of a bounded number, where what is not the part's first is found;
+what is left, one window for each part at most, is dealt out by the windows' bytes. So no task grows with it.
 
 `without_repeats` indexes one table. `SuffixIndex` keeps the levels in a shared folder, so that later batches meet them.
 """
@@ -142,22 +143,107 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)), off - off[0]
 
 
-def _anchors(window: int, gram: int, piece: int = (1 << 20) - 128):
-    """Rows `h, id, p` of all contexts of whole texts."""
+def suffix_array(buf: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows at starts in their order: their keys, their places in starts (of equal ones the first first), and which equal the
+    one before."""
+    keys = window_keys(buf, starts, window)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    return keys, order, again
+
+
+#: Contexts of some texts: h, id, p; and spans: h is -1, p the start, e the end.
+_ANCHORS = "h long, id long, p long, e long"
+
+
+def _anchors(window: int, gram: int, piece: int = 1 << 19):
+    """Contexts of whole texts, without those whose windows all occur earlier in the same part of some texts; spans for these."""
+
+    def rows(h, ids, p, e) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (h, ids, p)] + [e], ["h", "id", "p", "e"])
+
+    def part_of(ids: np.ndarray, buf: np.ndarray, off: np.ndarray, before: np.ndarray):
+        """before: where in its document each text begins, for a text in pieces."""
+        x = contexts(buf, off, window, gram)
+        doc, n = x["doc"], x["lo"] - x["hi"] + 1
+        _, kind, count = np.unique(x["h"], return_inverse=True, return_counts=True)
+        met = np.flatnonzero(count[kind] > 1)
+        keep = np.ones(len(doc), bool)
+        if len(met):
+            met = met[np.lexsort((x["m"][met], ids[doc[met]]))]
+            first = x["m"][met] - x["lo"][met]
+            starts, own = ragged(off[doc[met]] + first, n[met]), np.repeat(np.arange(len(met)), n[met])
+            _, order, again = suffix_array(buf, starts, window)
+            gone = order[again]
+            keep[met] = np.bincount(own[order[~again]], minlength=len(met)) > 0
+            d = doc[met][own[gone]]
+            d, s, e = merged_spans(d, starts[gone] - off[d] + before[d], starts[gone] - off[d] + before[d] + window)
+            yield rows(np.full(len(d), -1), ids[d], s, pa.array(e.astype(np.int64)))
+        p = _pack(x["m"] + before[doc], x["lo"], x["hi"])[keep]
+        yield rows(x["h"][keep], ids[doc[keep]], p, pa.nulls(len(p), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", piece):
                 ids, block = np.asarray(part.column(0)), Block(part.column(1))
-                for at in range(0, max(1, len(block.buf) - window + 1), piece):  # only one very long document takes several turns
-                    buf = block.buf[at : at + piece + window - 1]
-                    x = contexts(buf, np.clip(block.off - at, 0, len(buf)), window, gram)
-                    m = x["m"] + np.where(block.off[x["doc"]] < at, at - block.off[x["doc"]], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(x["h"], pa.int64()), pa.array(ids[x["doc"]], pa.int64()), pa.array(_pack(m, x["lo"], x["hi"]), pa.int64())], ["h", "id", "p"])
+                for at in range(0, max(1, len(block.buf) - window + 1), 2 * piece):  # only one very long document takes several turns
+                    buf = block.buf[at : at + 2 * piece + window - 1]
+                    yield from part_of(ids, buf, np.clip(block.off - at, 0, len(buf)), np.maximum(at - block.off[:-1], 0))
 
     return run
 
 
+def _met(hot: int):
+    """Reads anchors sorted by h. Gives spans as they are (part -1), and contexts whose k-gram has another: part 0, or, if it has over
+    `hot`, 1 for the first `hot` of them, 2 for the next, and so on. Holds `hot` rows of a k-gram between batches."""
+
+    def rows(h, ids, p, e, part) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ids, p)] + [e, pa.array(np.asarray(part, np.int32))], ["h", "id", "p", "e", "part"])
+
+    def groups(h, ids, p, seen: int) -> pa.RecordBatch:
+        """Whole k-grams, but for the first, of which `seen` contexts have been given before, and the last, if it is hot."""
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(first, len(h)))
+        own = np.repeat(np.arange(len(first)), size)
+        ordinal, is_hot = np.arange(len(h)) - first[own], size > hot
+        ordinal[own == 0] += seen
+        is_hot[0] |= seen > 0
+        keep = is_hot[own] | (size[own] > 1)
+        return rows(h[keep], ids[keep], p[keep], pa.nulls(int(keep.sum()), pa.int64()), np.where(is_hot[own], 1 + ordinal // hot, 0)[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current, seen = None, None, 0
+        for batch in batches:
+            h, ids, p = (np.asarray(batch.column(k)) for k in range(3))
+            span = h < 0
+            if span.any():
+                yield rows(h[span], ids[span], p[span], batch.column(3).filter(pa.array(span)), np.full(int(span.sum()), -1))
+                h, ids, p = h[~span], ids[~span], p[~span]
+            if not len(h):
+                continue
+            if held is not None:
+                h, ids, p = (np.concatenate(x) for x in zip(held, (h, ids, p)))
+            seen = seen if h[0] == current else 0
+            last = int(np.searchsorted(h, h[-1]))
+            if last:
+                yield groups(h[:last], ids[:last], p[:last], seen)
+                seen = 0
+            h, ids, p = h[last:], ids[last:], p[last:]
+            if seen or len(h) > hot:
+                yield groups(h, ids, p, seen)
+                held, current, seen = None, h[0], seen + len(h)
+            else:
+                held = h, ids, p
+        if held is not None:
+            yield groups(*held, 0)
+
+    return run
+
+
+
+
 def _fetch(window: int, most: int = 4 << 20):
     """From documents `batch, id, text, asked` to the pieces asked of them; `most` bytes of pieces at once, about."""
 
@@ -229,11 +315,7 @@ class SuffixLevels:
 
     def add(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Indexes the windows at starts, in order; which of them occur earlier, in the levels or in this batch."""
-        keys = window_keys(buf, starts, self.window)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        again = np.zeros(len(keys), bool)
-        again[1:] = keys[1:] == keys[:-1]
+        keys, order, again = suffix_array(buf, starts, self.window)
         first = np.flatnonzero(~again)
         own, known = keys[first], np.zeros(len(first), bool)
         for level in self.levels:
@@ -334,11 +416,10 @@ def _dealt(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("shard").sortWithinPartitions("shard", "kind", "batch", "id", "at")
 
 
-def _pieces(docs: DataFrame, contexts: DataFrame, shards: int, window: int, hot: int) -> DataFrame:
-    """docs: `batch, id, text`; contexts: `batch, h, id, p, n`, n the contexts of the k-gram. They are dealt out by k-gram, or, if that
-    has over `hot` contexts, by k-gram and part, into shards of their own."""
-    part = F.pmod(F.xxhash64("batch", "id", "p"), F.ceil(F.col("n") / F.lit(hot)))
-    shard = F.when(F.col("n") > hot, F.lit(shards) + F.pmod(F.xxhash64("h", part), F.lit(shards))).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))
+def _pieces(docs: DataFrame, contexts: DataFrame, shards: int, window: int) -> DataFrame:
+    """docs: `batch, id, text`; contexts: `batch, h, id, p, part`. Those of part 0 are dealt out by k-gram, the others by k-gram and
+    part, into shards of their own."""
+    shard = F.when(F.col("part") > 0, F.lit(shards) + F.pmod(F.xxhash64("h", "part"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))
     asked = contexts.groupBy("batch", "id").agg(F.collect_list(F.struct("p", shard.cast("int").alias("shard"))).alias("asked"))
     return docs.join(asked, ["batch", "id"]).select("batch", "id", "text", "asked").mapInArrow(trimmed(_fetch(window)), _PIECES)
 
@@ -351,17 +432,19 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     """`id, spans`: of each document of docs (`id` long, unique; `text`) that has any, the byte spans [s, e) to remove, by start;
     they may overlap or touch."""
     one = F.lit(0).alias("batch")
-    anchors = store(docs.mapInArrow(trimmed(_anchors(window, gram)), "h long, id long, p long"), "repeat-anchors")
-    again = store(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-grams")
-    n, most = again.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    shards = max(1, -(-n // shard))
-    pieces = _pieces(docs.select(one, "id", "text"), anchors.join(again, "h").select(one, "h", "id", "p", "n"), shards, window, hot)
-    made = store(_dealt(pieces).mapInArrow(trimmed(_match(window, batch, shards, False)), _MADE), "repeat-made")
-    spans = made.filter("kind = 0").select("id", "s", "e")
-    if most > hot:
-        shards = max(1, -(-made.filter("kind = 1").count() // (32 * shard)))
-        more = store(_dealt(_left(made, window, shards)).mapInArrow(trimmed(_match(window, 32 * batch, shards, False)), _MADE), "repeat-more")
-        spans = spans.union(more.filter("kind = 0").select("id", "s", "e"))
+    anchors = docs.mapInArrow(trimmed(_anchors(window, gram)), _ANCHORS).repartition("h", F.when(F.col("h") < 0, F.col("id"))).sortWithinPartitions("h")
+    met = store(anchors.mapInArrow(trimmed(_met(hot)), f"{_ANCHORS}, part int"), "repeat-met")
+    spans = met.filter("part < 0").select("id", F.col("p").alias("s"), "e")
+    need = met.filter("part >= 0").select(one, "h", "id", "p", "part")
+    n, most = need.agg(F.count("*"), F.max("part")).first()
+    if n:
+        shards = max(1, -(-n // shard))
+        made = store(_dealt(_pieces(docs.select(one, "id", "text"), need, shards, window)).mapInArrow(trimmed(_match(window, batch, shards, False)), _MADE), "repeat-made")
+        spans = spans.union(made.filter("kind = 0").select("id", "s", "e"))
+        if most:
+            shards = max(1, -(-made.filter("kind = 1").count() // (32 * shard)))
+            more = store(_dealt(_left(made, window, shards)).mapInArrow(trimmed(_match(window, 32 * batch, shards, False)), _MADE), "repeat-more")
+            spans = spans.union(more.filter("kind = 0").select("id", "s", "e"))
     return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
@@ -415,8 +498,9 @@ class SuffixIndex:
         docs.select(F.col("id").cast("long").alias("id"), "text").write.mode("overwrite").parquet(f"{self.path}/docs/batch={batch}")
         texts = self._upto("docs", "id long, text string", batch + 1)
         fresh = texts.filter(F.col("batch") == batch).select("id", "text")
-        fresh.mapInArrow(trimmed(_anchors(self.window, self.gram)), "h long, id long, p long").write.mode("overwrite").parquet(f"{self.path}/anchors/batch={batch}")
-        anchors, new = self._upto("anchors", "h long, id long, p long", batch + 1), F.col("batch") == batch
+        fresh.mapInArrow(trimmed(_anchors(self.window, self.gram)), _ANCHORS).write.mode("overwrite").parquet(f"{self.path}/anchors/batch={batch}")
+        rows, new = self._upto("anchors", _ANCHORS, batch + 1), F.col("batch") == batch
+        anchors, own = rows.filter("h >= 0").select("h", "id", "p", "batch"), rows.filter((F.col("h") < 0) & new).select("id", F.col("p").alias("s"), "e")
         grams = store(anchors.groupBy("h").agg(F.count_if(~new).alias("old"), F.count("*").alias("n")).filter("n > 1"), "index-grams")
         total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         wanted = anchors.join(grams, "h")
@@ -425,11 +509,12 @@ class SuffixIndex:
         else:  # of the batches before, what has not been asked for yet
             late = (F.col("old") == 1) | ((F.col("n") > self.hot) & (F.col("old") <= self.hot))
             wanted = wanted.filter(new | ((F.col("n") > F.col("old")) & late))
-        pieces = _pieces(texts.select("batch", "id", "text"), wanted.select("batch", "h", "id", "p", "n"), shards, self.window, self.hot)
+        part = F.when(F.col("n") > self.hot, 1 + F.pmod(F.xxhash64("batch", "id", "p"), F.ceil(F.col("n") / F.lit(self.hot)))).otherwise(0)
+        pieces = _pieces(texts.select("batch", "id", "text"), wanted.select("batch", "h", "id", "p", part.alias("part")), shards, self.window)
         made = self._scan(pieces, f"levels/build={build}/grams", batch, self.batch, shards)
         more = self._scan(_left(made, self.window, shards), f"levels/build={build}/bytes", batch, 32 * self.batch, shards)
         self.spark.createDataFrame([(batch, build, shards)], "batch int, build int, shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
-        spans = made.union(more).filter((F.col("kind") == 0) & new)
+        spans = own.union(made.union(more).filter((F.col("kind") == 0) & new).select("id", "s", "e"))
         return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 

@@ -111,8 +111,22 @@ def test_text_in_pieces():
     found = set()
     for piece in (1 << 22, 700):
         rows = [r for b in repeats._anchors(100, 24, piece)([batch]) for r in b.to_pylist()]
-        found.add(frozenset((r["id"], s) for r in rows for m, lo, hi in [repeats._unpack(r["p"])] for s in range(m - lo, m - hi + 1)))
-    assert len(found) == 1 and {s for i, s in next(iter(found)) if i == 5} == set(range(2901))
+        windows = {(r["id"], s) for r in rows if r["h"] >= 0 for m, lo, hi in [repeats._unpack(r["p"])] for s in range(m - lo, m - hi + 1)}
+        gone = {(r["id"], s) for r in rows if r["h"] < 0 for s in range(r["p"], r["e"] - 99)}
+        found.add(frozenset(windows | gone))
+        assert {s for i, s in windows if i == 5} == set(range(2901)) and (not gone or piece > 1000)
+    assert len(found) == 1
+
+
+def test_met_gives_parts_of_hot_grams():
+    import pyarrow as pa
+
+    h = np.sort(np.array([1, 2, 2, 3] + [4] * 9 + [5] * 3 + [6] + [7] * 20 + [8, 8]))
+    for cut in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(h[a : a + cut]), pa.array(np.arange(len(h))[a : a + cut]), pa.array(h[a : a + cut]), pa.nulls(len(h[a : a + cut]), pa.int64())], ["h", "id", "p", "e"]) for a in range(0, len(h), cut)]
+        rows = [r for b in repeats._met(4)(iter(batches)) for r in b.to_pylist()]
+        parts = {k: [r["part"] for r in rows if r["h"] == k] for k in (1, 2, 3, 4, 5, 6, 7, 8)}
+        assert parts == {1: [], 2: [0, 0], 3: [], 4: [1] * 4 + [2] * 4 + [3], 5: [0] * 3, 6: [], 7: sum(([k] * 4 for k in range(1, 6)), []), 8: [0, 0]}
 
 
 def test_batches_meet_the_levels_before(spark, tmp_path):
