@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, slices, table, trimmed
+from .common import Block, fresh, slices, table, trimmed
 
 #: Slots of the hashed n-grams.
 SLOTS = 4096
@@ -201,8 +201,9 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with `__lang_rejected` added, by a map that carries all columns along. A column of that name is replaced."""
-    docs = docs.drop("__lang_rejected")
+    """docs with whether each is rejected as its last column, `__lang_rejected`, by a map that carries all columns along. Where a column
+    has that name already, the new one has an underscore more."""
+    flag = fresh("__lang_rejected", docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -210,9 +211,9 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
                 _, _, rejected = held.value.predict(part.column(part.schema.get_field_index(text_col)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rejected)], [*names, "__lang_rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rejected)], [*names, flag])
 
-    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("__lang_rejected", T.BooleanType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, store, table
+from .common import WORD, fresh, store, table
+
+#: Columns that `mixed` adds.
+MADE = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def word_count(text_col: str):
@@ -46,9 +49,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Every source keeps its own rate, so a hot source needs no dealing: the source table has one row a source, Catalyst
     broadcasts it if its written size is small and joins by shuffle, split where skewed, if not. A null source is a source.
-    Sources without words get no copies. Rows that repeat an id share its draw. No row is dropped here.
+    Sources without words get no copies. Rows that repeat an id share its draw. No row is dropped here. What a source gives is its
+    target on average; with f the fraction of its rate, the standard deviation is the root of f (1 - f) times the sum of its squared
+    sizes, so a source of a few long documents can miss its target by tens of percent, one of many by little.
     """
-    plain = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    plain = docs.drop(*MADE)
     targets = store(source_targets(plain.select(F.col(source_col).alias("src"), word_count(text_col).alias("size")), share, cap, weights), "mix-targets")
     targets = targets.select(F.col("src").alias("__mix_src"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(cap))).otherwise(0.0)
@@ -58,9 +63,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as it was drawn, columns as they were."""
-    out = mixed(docs, **options)
+    own = {c: fresh("__" + c, docs.columns) for c in docs.columns if c.lower() in MADE}
+    out = mixed(docs.withColumnsRenamed(own), **options)
     copies = F.explode(F.expr("array_repeat(0, cast(mix_copies as int))"))
-    return out.filter("mix_copies > 0").withColumn("__copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.filter("mix_copies > 0").withColumn(fresh("__copy", out.columns), copies).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

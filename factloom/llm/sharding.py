@@ -79,8 +79,8 @@ def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_
 
     size is the text's UTF-8 bytes (null: 0) plus `overhead`. Equal texts stay together; null texts are one group, apart from
     the empty text. Byte totals differ by little unless one group alone exceeds the mean, which then fills its shard alone.
-    Groups of over a `large`-th of a shard's mean, n_shards x large at most, are dealt out on the driver. Repeated ids keep a slot
-    each. An empty table gives no rows. Other columns are ignored.
+    Groups of over a `large`-th of a shard's mean, n_shards x large at most, are dealt out on the driver; for over 500 shards the share
+    grows, so that the driver's sums stay below n_shards^2 or 1 << 24 numbers. Repeated ids keep a slot each. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -92,6 +92,7 @@ def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_
     rows = store(rows, "shard-rows")
     groups = store(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     n_groups, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    large = max(1, min(large, (1 << 24) // n_shards**2))
     is_large = F.col("bytes") * F.lit(n_shards * large) > F.lit(total)
     heavy = sorted(groups.filter(is_large).collect(), key=lambda r: (-r.bytes, bytes(r.key)))
     parts = np.zeros((len(heavy), n_shards), np.int64)
@@ -105,7 +106,7 @@ def differencing_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_
     by_key = store(dealt, "shard-places")
     n_rows = rows.count()
     chunks = max(1, math.ceil(n_rows / chunk_rows))
-    dealt = store(rows.join(by_key, "key").select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")), "shard-dealt")
+    dealt = store(rows.join(by_key, "key").select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(chunks)).cast("int").alias("chunk")), "shard-dealt")
     counts = dealt.groupBy("shard", "chunk").count()
     before = counts.select("shard", "chunk", (F.sum("count").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("id", "crc", "size"))

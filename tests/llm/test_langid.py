@@ -125,4 +125,4 @@ def test_clashing_column_names(spark):
     docs = corpus(spark).withColumn("__lang_rejected", F.lit(7)).withColumn("lang_pred", F.lit("q"))
     model = langid.fit(docs)
     out = langid.with_language(docs, model)
-    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "__lang_rejected"] and out.filter("__lang_rejected").count() >= 3
+    assert out.columns == [*docs.columns, "__lang_rejected_"] and out.filter("__lang_rejected_").count() >= 3 and out.filter("__lang_rejected = 7").count() == docs.count()
