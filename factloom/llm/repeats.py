@@ -35,7 +35,7 @@ GRAM = 24
 #: Contexts of one k-gram above which it is dealt out twice, and of each part then.
 HOT = 4096
 #: Contexts of a shard, about, and of a batch in it.
-SHARD, BATCH = 12_000, 3_000
+SHARD, BATCH = 12_000, 6_000
 _MASK = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -277,11 +277,13 @@ def window_keys(buf: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 def merge_scan(level: np.ndarray, batch: np.ndarray) -> np.ndarray:
     """Which of the batch's keys the level has; both sorted and distinct. A stable sort of two runs is their merge."""
-    both = np.concatenate([level, batch])
-    order = np.argsort(both, kind="stable")
-    both = both[order]
+    order, n = np.argsort(np.concatenate([level, batch]), kind="stable"), len(level)
+    at = np.flatnonzero(order >= n)
+    at = at[at > 0]
+    at = at[order[at - 1] < n]  # only what comes right after one of the level can equal it
+    own = order[at] - n
     out = np.zeros(len(batch), bool)
-    out[order[1:][both[1:] == both[:-1]] - len(level)] = True
+    out[own] = level[order[at - 1]] == batch[own]
     return out
 
 
@@ -336,8 +338,8 @@ class SuffixLevels:
     def _level(self, buf: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> Level:
         """A level of one batch; bytes that no window covers are left out."""
         cover = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(cover, sa, 1)
-        np.add.at(cover, sa + self.window, -1)
+        cover[sa] += 1  # places are distinct
+        cover[sa + self.window] -= 1
         keep = np.cumsum(cover[:-1]) > 0
         self.next += 1
         return Level(buf[keep], (np.cumsum(keep) - 1)[sa], self.next - 1, self.next - 1, keys=keys)
