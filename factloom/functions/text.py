@@ -1,9 +1,9 @@
-"""Names and texts: Jaro-Winkler, shorteners, call scope, formats."""
+"""Names and texts: Jaro-Winkler, shorteners, call scope, formats."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,13 +44,22 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def winkler_at_least(a: Column, b: Column, least: float) -> Column:
-    """jaro_winkler(a, b) >= least. A common prefix of k characters alone gives k / 10, so pairs it settles skip the UDF."""
-    enough = F.lit(False)
+def prefix_settles(a: Column, b: Column, least: float) -> Column:
+    """Whether a common prefix alone makes jaro_winkler(a, b) >= least: k common first characters are k matches, so the Jaro
+    similarity is at least (k / |a| + k / |b|) / 3, and the prefix raises it by k tenths of what is missing."""
+    out = F.lit(False)
     for k in range(1, 5):
-        if k * 0.1 >= least:
-            enough = enough | ((F.char_length(a) >= k) & (F.char_length(b) >= k) & (F.left(a, F.lit(k)) == F.left(b, F.lit(k))))
-    return F.when(enough, True).otherwise(jaro_winkler_udf(a, b) >= least)
+        same = (F.char_length(a) >= k) & (F.char_length(b) >= k) & (F.left(a, F.lit(k)) == F.left(b, F.lit(k)))
+        jaro = (F.lit(k) / F.char_length(a) + F.lit(k) / F.char_length(b)) / 3.0
+        out = out | (same & (F.lit(k * 0.1) + jaro * (1.0 - k * 0.1) >= least + 1e-9))
+    return F.coalesce(out, F.lit(False))
+
+
+def names_at_least(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Rows of pairs with jaro_winkler(a, b) >= least. Those that a prefix settles are one branch, which has no Python; only the
+    others reach the UDF."""
+    settled = prefix_settles(F.col(a), F.col(b), least)
+    return pairs.filter(settled).union(pairs.filter(~settled).filter(jaro_winkler_udf(a, b) >= least))
 
 
 def short_name(c: Column) -> Column:
@@ -93,8 +102,15 @@ def bit_names(bits: Column, names: list[str], none: str = "pure") -> Column:
     return F.when(F.size(parts) == 0, none).otherwise(F.array_join(parts, "|"))
 
 
+@F.pandas_udf(T.StringType())
+def _two_places(scores: pd.Series) -> pd.Series:
+    return scores.map(lambda s: f"{s / 1000:.2f}", na_action="ignore")
+
+
 def milli(score: Column) -> Column:
-    return F.format_string("%.2f", score / 1000.0)
+    """Thousandths with two places, the double rounded as it is: 15 gives 0.01, for 0.015 lies below the half. The JVM's formats round
+    its shortest digits instead, so this is Arrow."""
+    return _two_places(score.cast("double"))
 
 
 def next_sequence(ids: Column, prefix: str) -> Column:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import winkler_at_least
+from ..functions.text import names_at_least
 from ..functions.vectors import cosine, overlap, union_size
 from .checkpoint import cut
 from .graphs import components
@@ -31,10 +31,11 @@ def candidate_pairs(profiles: DataFrame, blocks: DataFrame, jaccard: float = 0.8
     side = lambda s: profiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("g", "size", "kinds", "v", "name")])
     p = blocks.join(side("a"), F.col("a") == F.col("g_a")).join(side("b"), F.col("b") == F.col("g_b")).filter(F.greatest("size_a", "size_b") <= ratio * F.least("size_a", "size_b"))
     kinds = (union_size(F.col("kinds_a"), F.col("kinds_b")) > 0) & (overlap(F.col("kinds_a"), F.col("kinds_b")) >= jaccard * union_size(F.col("kinds_a"), F.col("kinds_b")))
-    names = (F.col("name_a") == "") | (F.col("name_b") == "") | winkler_at_least(F.col("name_a"), F.col("name_b"), winkler)
+    nameless = (F.col("name_a") == "") | (F.col("name_b") == "")
     close = cosine(F.col("v_a").cast("array<double>"), F.col("v_b").cast("array<double>")) >= least_cosine
     sure = p.filter(kinds).select("a", "b")
-    return sure.union(p.filter(~kinds & close).filter(names).select("a", "b"))
+    rest = p.filter(~kinds & close).select("a", "b", "name_a", "name_b")
+    return sure.union(rest.filter(nameless).select("a", "b")).union(names_at_least(rest.filter(~nameless), "name_a", "name_b", winkler).select("a", "b"))
 
 
 def weighted_similarity(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ TAINT_SANITIZERS = ["template.HTMLEscapeString", "html.EscapeString", "url.Query
 TAINT_SINKS = [
     ("(*sql.DB).Exec", 1, "SQL injection"), ("(*sql.DB).Query", 1, "SQL injection"), ("(*sql.DB).QueryRow", 1, "SQL injection"), ("(*sql.Tx).Exec", 1, "SQL injection"),
     ("(*sql.Tx).Query", 1, "SQL injection"), ("(*sql.Conn).Exec", 1, "SQL injection"), ("exec.Command", None, "command injection"), ("exec.CommandContext", None, "command injection"),
-    ("(*template.Template).Execute", 2, "XSS"),
+    ("(*template.Template).Execute", 2, "XSS"), ("os.Open", 0, "path traversal"), ("os.Create", 0, "path traversal"), ("os.WriteFile", 0, "path traversal"), ("ioutil.WriteFile", 0, "path traversal"),
 ]
 
 

@@ -18,8 +18,11 @@ def signature_groups(methods: DataFrame, key_col: str, type_col: str, name_col:
     m = methods.filter(F.col(key_col).isNotNull() & (F.col(key_col).cast("string") != "") & F.col(type_col).isNotNull() & (F.col(type_col) != ""))
     total = m.count()
     m = m.withColumn("short", F.substring_index(name_col, ".", -1)).withColumn("own", F.when(~F.coalesce(F.col(implements_col), F.lit(False)) if implements_col else F.lit(True), F.col(type_col)))
-    by_name = m.groupBy(key_col, "short").agg(F.count("*").alias("n"), F.collect_set("own").alias("named_types"))
-    out = by_name.groupBy(F.col(key_col).alias("key")).agg(F.sum("n").cast("long").alias("members"), F.size(F.array_distinct(F.flatten(F.collect_list("named_types")))).cast("long").alias("types"), F.max(F.size("named_types")).cast("long").alias("shared"))
+    by_type = m.groupBy(F.col(key_col).alias("key"), "short", "own").agg(F.count("*").alias("n"))
+    by_name = by_type.groupBy("key", "short").agg(F.sum("n").alias("n"), F.count("own").alias("named"))
+    types = by_type.filter("own is not null").groupBy("key", "own").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("types"))
+    out = by_name.groupBy("key").agg(F.sum("n").cast("long").alias("members"), F.max("named").cast("long").alias("shared")).join(types, "key")
+    out = out.select("key", "members", "types", "shared")
     out = out.filter("types >= 2").withColumn("specificity", F.greatest(F.round(F.lit(1000.0) * F.log(F.lit(float(total)) / F.col("members"))), F.lit(0.0)).cast("long"))
     return out.withColumn("score", F.col("specificity") + F.when(F.col("shared") >= 2, F.expr("(specificity div 2) * shared div types")).otherwise(0))
 

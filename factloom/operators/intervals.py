@@ -1,4 +1,4 @@
-"""Intervals, diffs, annotations, order along a sequence."""
+"""Intervals, diffs, annotations, order along a sequence."""
 
 from __future__ import annotations
 
@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 
 def overlaps(items: DataFrame, ranges: DataFrame, key: str, width: int) -> DataFrame:
-    """Rows of items (`key, start, end`) that overlap a range (`key, lo, hi`) of their key, ends included.
+    """Rows of items (`key, start, end`) that overlap a range (`key, lo, hi`) of their key, ends included; equal rows each stay.
 
-    Both sides are cut into cells of `width`, and meet by key and cell: an equality join, not all ranges of a key with all items.
+    An item does if the largest hi of the ranges with lo <= end reaches its start. That is a running maximum along the key, taken
+    in cells of `width` so that a hot key is many tasks: within the item's cell row by row, of the cells before as one number each.
+    Nothing is multiplied and no pair is made.
     """
-    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    keyed = items.withColumn("__row", F.xxhash64(*items.columns)).withColumn("__c", cell("start", "end"))
-    other = ranges.select(F.col(key), "lo", "hi").filter("lo <= hi").withColumn("__c", cell("lo", "hi"))
-    met = keyed.join(other, [key, "__c"]).filter("start <= hi and lo <= end").select(*items.columns, "__row").dropDuplicates(["__row"])
-    return met.drop("__row")
+    valid = ranges.select(F.col(key).alias("__k"), F.col("lo"), F.col("hi")).filter("lo <= hi and __k is not null")
+    cell = lambda c: F.floor(F.col(c) / width)
+    rows = items.filter(F.col(key).isNotNull()).select(F.struct(*items.columns).alias("__row"), F.col(key).alias("__k"), F.col("start").alias("__from"), F.col("end").alias("__at"), cell("end").alias("__c"), F.lit(1).alias("__kind"))
+    marks = valid.select(F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "__k", F.col("hi").alias("__from"), F.col("lo").alias("__at"), cell("lo").alias("__c"), F.lit(0).alias("__kind"))
+    hi = F.max(F.when(F.col("__kind") == 0, F.col("__from"))).over(Window.partitionBy("__k", "__c").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.union(marks).withColumn("__hi", hi).filter("__kind = 1")
+    cells = valid.groupBy("__k", cell("lo").alias("__c")).agg(F.max("hi").alias("__top")).union(rows.select("__k", "__c", F.lit(None).cast(valid.schema["hi"].dataType)).distinct())
+    cells = cells.groupBy("__k", "__c").agg(F.max("__top").alias("__top"))
+    before = cells.select("__k", "__c", F.max("__top").over(Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)).alias("__before")).filter("__before is not null")
+    met = near.join(before, ["__k", "__c"], "left").filter(F.greatest("__hi", "__before") >= F.col("__from"))
+    return met.select("__row.*")
 
 
 def overlap_pairs(items: DataFrame, ranges: DataFrame, key: str, width: int, item_id: str, range_id: str) -> DataFrame:
@@ -37,12 +45,14 @@ _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def diff_lines(lines: DataFrame) -> DataFrame:
-    """From `seq, line` of a unified diff: `path, kind, old_line, new_line, text` of added and deleted lines.
+    """From `diff, seq, line` of unified diffs: `diff, seq, path, kind, old_line, new_line, text` of added and deleted lines.
 
     The file is carried forward from its header, positions advance by running counts from the hunk's; a diff is one text, so its
-    lines are one window.
+    lines are one window. Without the column `diff` all lines are one diff's, and the result has none either.
     """
-    w = Window.orderBy("seq")
+    own = ["diff"] if "diff" in lines.columns else []
+    lines = lines if own else lines.withColumn("diff", F.lit(0))
+    w = Window.partitionBy("diff").orderBy("seq")
     hunk = F.col("line").rlike(_HUNK)
     header = F.col("line").rlike(r"^(\+\+\+|---) ")
     out = lines.withColumn("path", F.last(F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.col("line"), r"^\+\+\+ (b/)?", "")), True).over(w))
@@ -50,20 +60,23 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     out = out.withColumn("old_at", F.last(F.when(hunk, F.regexp_extract("line", _HUNK, 1).try_cast("int")), True).over(w)).withColumn("new_at", F.last(F.when(hunk, F.regexp_extract("line", _HUNK, 3).try_cast("int")), True).over(w))
     kind = F.when(hunk | header, None).when(F.col("line").startswith("+"), "added").when(F.col("line").startswith("-"), "deleted").when(F.col("line").startswith(" "), "context")
     out = out.withColumn("kind", kind)
-    before = Window.partitionBy("hunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("diff", "hunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     n = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(before), F.lit(0))
     out = out.withColumn("old_line", F.col("old_at") + n("deleted", "context")).withColumn("new_line", F.col("new_at") + n("added", "context"))
-    return out.filter("hunk > 0 and kind in ('added', 'deleted')").select("seq", "path", "kind", "old_line", "new_line", F.expr("substring(line, 2)").alias("text"))
+    return out.filter("hunk > 0 and kind in ('added', 'deleted')").select(*own, "seq", "path", "kind", "old_line", "new_line", F.expr("substring(line, 2)").alias("text"))
 
 
 def diff_ranges(lines: DataFrame) -> DataFrame:
-    """`path, lo, hi`: the new side's range of each hunk; a hunk that only deletes touches its single line."""
-    w = Window.orderBy("seq")
+    """`diff, path, lo, hi`: the new side's range of each hunk; a hunk that only deletes touches its single line. Without the column
+    `diff` all lines are one diff's, and the result has none either."""
+    own = ["diff"] if "diff" in lines.columns else []
+    lines = lines if own else lines.withColumn("diff", F.lit(0))
+    w = Window.partitionBy("diff").orderBy("seq")
     path = F.last(F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.col("line"), r"^\+\+\+ (b/)?", "")), True).over(w)
     at, n = F.regexp_extract("line", _HUNK, 3).try_cast("int"), F.regexp_extract("line", _HUNK, 4)
     size = F.when(n == "", 1).otherwise(n.try_cast("int"))
     out = lines.withColumn("path", path).filter(F.col("line").rlike(_HUNK) & (F.col("path") != "/dev/null"))
-    return out.select("path", at.alias("lo"), F.greatest(at, at + size - 1).alias("hi"))
+    return out.select(*own, "path", at.alias("lo"), F.greatest(at, at + size - 1).alias("hi"))
 
 
 def untracked_ranges(files: DataFrame) -> DataFrame:

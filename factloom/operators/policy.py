@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BRACKETS = re.compile(r"([\[\]<>])")
 
 
 def longest_prefix(values: DataFrame, value_col: str, policy: list[tuple[str, str]], default: str | None = None) -> DataFrame:
@@ -23,29 +29,50 @@ def longest_prefix(values: DataFrame, value_col: str, policy: list[tuple[str, st
     return out.select(*values.columns, F.col("best.prefix").alias("prefix"), F.coalesce(F.col("best.kind"), F.lit(default)).alias("kind"))
 
 
-def normalized_callee(name: Column, depth: int = 8) -> Column:
-    """Balanced [...] and <...> removed, innermost first, to the given depth; `::::` becomes `::`."""
-    for _ in range(depth):
-        name = F.regexp_replace(name, r"\[[^\[\]<>]*\]|<[^\[\]<>]*>", "")
-    return F.regexp_replace(name, "::::", "::")
+def plain_callee(name: str) -> str:
+    """As normalized_callee, of one name."""
+    out, depth = [], 0
+    for part in _BRACKETS.split(name):
+        if part in ("[", "<"):
+            depth += 1
+        elif part in ("]", ">"):
+            depth = max(depth - 1, 0)
+        elif not depth:
+            out.append(part)
+    return "".join(out).replace("::::", "::")
+
+
+@F.pandas_udf(T.StringType())
+def _plain_callees(names: pd.Series) -> pd.Series:
+    return names.map(plain_callee, na_action="ignore")
+
+
+def normalized_callee(name: Column) -> Column:
+    """What stands in [...] or <...> is removed, at any depth, whichever bracket closes it; what is never closed goes to the end,
+    and a bracket that closes nothing is dropped; `::::` becomes `::`. Names without brackets don't leave the JVM."""
+    plain = F.regexp_replace(name, r"\[[^\[\]<>]*\]|<[^\[\]<>]*>", "")  # the common case: one level, well formed
+    return F.regexp_replace(F.when(plain.rlike(r"[\[\]<>]"), _plain_callees(name)).otherwise(plain), "::::", "::")
 
 
-def suppressions(lines: DataFrame, line_col: str, known: list[str], marker: str = "allow") -> DataFrame:
-    """Adds `suppressed` (array of known rules) and `invalid` of a comment `// x-allow(r1, r2): reason` or `//lint:ignore r1,r2 reason`.
+def suppressions(lines: DataFrame, line_col: str, known: list[str], marker: str = r"\w[\w.]*-allow") -> DataFrame:
+    """Adds `suppressed` (array of known rules), `invalid` and `problem` (null if valid) of a comment `// x-allow(r1, r2): reason` or
+    `//lint:ignore r1, r2 reason`, whose rules are the leading words of a-z, 0-9 and _.
 
-    A missing reason or an unknown rule makes it invalid, and it then suppresses nothing. Lines without one: empty, false.
+    A comment with the marker that is not of this form, a missing reason, an unknown rule, or `invalid_suppression` among the rules
+    makes it invalid, and it then suppresses nothing. Lines without one: empty, false.
     """
-    text = F.coalesce(F.col(line_col), F.lit(""))
-    own = rf"//\s*[\w.-]*{marker}\(([^)]*)\)(?::\s*(.*))?$"
-    lint = r"//lint:ignore\s+([\w,-]+(?:,\s*[\w-]+)*)(?:\s+(.*))?$"
-    found = F.when(text.rlike(own), F.regexp_extract(text, own, 1)).when(text.rlike(lint), F.regexp_extract(text, lint, 1))
-    reason = F.when(text.rlike(own), F.regexp_extract(text, own, 2)).otherwise(F.regexp_extract(text, lint, 2))
-    rules = F.filter(F.transform(F.split(found, ","), lambda r: F.trim(r)), lambda r: r != "")
-    bad = found.isNotNull() & ((F.trim(reason) == "") | (F.size(rules) == 0) | (F.size(F.array_except(rules, F.array(*map(F.lit, known)))) > 0))
-    none = F.array().cast("array<string>")
-    return lines.withColumn("suppressed", F.when(found.isNull() | bad, none).otherwise(rules)).withColumn("invalid", F.coalesce(bad, F.lit(False)))
-
-
-def first_matching_kind(hits: DataFrame, kinds_col: str, kind: str) -> DataFrame:
-    """Rows whose array of suppressed kinds does not hold `kind`."""
-    return hits.filter(~F.coalesce(F.array_contains(kinds_col, kind), F.lit(False)))
+    text = F.trim(F.coalesce(F.col(line_col), F.lit("")), F.lit(" \t\r\n"))
+    lint, own = text.startswith("//lint:ignore"), text.rlike(marker)
+    words = F.filter(F.split(F.substring(text, 14, 1 << 20), r"\s+"), lambda w: w != "")
+    clean = F.transform(words, lambda w: F.regexp_replace(w, ",$", ""))
+    stop = F.array_position(F.transform(clean, lambda w: w.rlike("^[a-z0-9_]+$")), F.lit(False))
+    lint_rules = F.when(stop == 0, clean).otherwise(F.slice(clean, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0))))
+    form = rf"^// {marker}\("
+    body = F.regexp_replace(text, form, "")
+    own_rules = F.transform(F.split(F.substring_index(body, "):", 1), ","), lambda r: F.trim(r))
+    reason = F.when(F.instr(body, "):") > 0, F.trim(F.expr("substring(__body, instr(__body, '):') + 2)")))
+    wrong = lambda rules: F.when(F.size(F.array_except(rules, F.array(*map(F.lit, known)))) > 0, "unknown rule").when(F.array_contains(rules, "invalid_suppression"), "invalid_suppression cannot be suppressed")
+    problem = F.when(lint, F.when(F.size(lint_rules) == 0, "rules are missing").when(stop == 0, "reason is missing").otherwise(wrong(lint_rules))).when(own, F.when(~text.rlike(form), "malformed").when(F.coalesce(reason, F.lit("")) == "", "reason is missing").otherwise(wrong(own_rules)))
+    out = lines.withColumn("__body", body).withColumn("problem", problem).drop("__body")
+    rules = F.when(F.col("problem").isNotNull(), None).when(lint, lint_rules).when(own, own_rules)
+    return out.withColumn("suppressed", F.coalesce(rules, F.array().cast("array<string>"))).withColumn("invalid", F.col("problem").isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Limits, weights and kinds of the rules.
@@ -126,3 +126,87 @@ def evaluate(functions: DataFrame, effects: DataFrame, targets: DataFrame, keys:
     each = busy.select(*keys, F.lit("mutation_per_target").alias("rule"), F.col("n").cast("long").alias("actual"), F.lit(config.limits["mutation_per_target"]).cast("long").alias("max"))
     both = out.unionByName(each)
     return both.withColumn("position", F.array_position(F.array(*map(F.lit, RULE_ORDER)), F.col("rule")).cast("int"))
+
+
+def _messages(weights: dict[str, int]) -> str:
+    cases = " ".join(f"when '{k}' then {w}" for k, w in weights.items())
+    return f"aggregate(resolved, 0L, (s, e) -> s + case e.kind {cases} else 0 end)"
+
+
+def evaluate_facts(functions: DataFrame, config: Config, prefixes: list[tuple[str, str]] = ()) -> DataFrame:
+    """functions as facts have them, each with `effects_of` (resolved, in order), `unclassified`, `weight`, `density`, `complete`, and
+    `findings`: array of rule, actual, max, message in the order of the rules (Q1, Q3, Q7-Q10).
+
+    All of it is a map over the functions. A comment that suppresses wrongly is a finding of its own and suppresses nothing; it can't
+    suppress itself.
+    """
+    from .callgraph import local_effects
+    from .policy import suppressions
+
+    known = [r for r in RULE_ORDER] + ["nilerr", "forcetypeassert", "typednil"]
+    f = suppressions(local_effects(functions, prefixes), "preceding_line", known)
+    f = f.withColumn("weight", F.expr(_messages(config.weights))).withColumn("density", F.expr("1000 * weight div greatest(statements, 1)"))
+    f = f.withColumn("complete", ~F.exists("resolved", lambda e: e["kind"] == "unknown"))
+    key = "concat(m.root, '@', m.root_id" + (", '.', m.field_path)" if config.field_granularity else ")")
+    f = f.withColumn("__keys", F.expr(f"transform(mutations, m -> {key})")).withColumn("__targets", F.array_sort(F.array_distinct("__keys")))
+    kinds = F.array_distinct(F.transform("resolved", lambda e: e["kind"]))
+    by_kind = F.transform(kinds, lambda k: F.struct((-F.aggregate(F.filter("resolved", lambda e: e["kind"] == k), F.lit(0), lambda s, e: s + weight_of(e["kind"], config.weights))).alias("n"), k.alias("k")))
+    parts = F.array_join(F.transform(F.array_sort(F.filter(by_kind, lambda x: x["n"] < 0)), lambda x: F.concat(x["k"], F.lit(" "), (-x["n"]).cast("string"))), ", ")
+    hits = lambda rule: F.filter("ddd", lambda d: d["rule_id"] == rule)
+    n = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+
+    def finding(rule, actual, message=None):
+        limit = config.limits[rule]
+        text = message if message is not None else F.format_string("%s: %d exceeds %d", F.lit(rule), actual, F.lit(limit).cast("long"))
+        return F.struct(F.lit(rule).alias("rule"), actual.cast("long").alias("actual"), F.lit(limit).cast("long").alias("max"), text.alias("message"))
+
+    limit = config.limits["side_effect_density"]
+    dense = F.when(F.col("statements") >= config.min_statements, F.col("density")).otherwise(F.lit(0)).cast("long")
+    told = F.format_string("side_effect_density %d > %d: weight %d over %d statements (%s)", F.col("density"), F.lit(limit).cast("long"), F.col("weight"), F.col("statements").cast("long"), parts)
+    busy = F.transform("__targets", lambda t: finding("mutation_per_target", n(F.filter("__keys", lambda k: k == t))))
+    wrong = F.when(F.col("invalid"), F.array(F.struct(F.lit("invalid_suppression").alias("rule"), F.lit(1).cast("long").alias("actual"), F.lit(0).cast("long").alias("max"), F.concat(F.lit("invalid suppression: "), "problem").alias("message"))))
+    none = F.array().cast("array<struct<rule: string, actual: bigint, max: bigint, message: string>>")
+    checks = F.concat(
+        F.array(finding("fn_length", F.col("code_lines").cast("long")), finding("fn_params", parameter_budget(F.col("params"), F.col("has_self")).cast("long")), finding("mutated_targets", n("__targets"))),
+        F.coalesce(busy, none),
+        F.array(finding("side_effect_density", dense, told), finding("aggregate", n(F.array_distinct(F.transform(hits("aggregate"), lambda d: d["detail"])))), finding("repository", n(hits("repository"))), finding("mutable_identity", n(hits("mutable_identity")))),
+    )
+    fired = F.filter(checks, lambda x: (x["actual"] > x["max"]) & ~F.array_contains("suppressed", x["rule"]))
+    return f.withColumn("findings", F.concat(F.coalesce(wrong, none), fired)).drop("__keys", "__targets").withColumnRenamed("resolved", "effects_of")
+
+
+def diagnostics_of(evaluated: DataFrame) -> DataFrame:
+    """`path, line, column, name, rule, actual, max, message, position` of evaluate_facts, in the report's order: by place, then rule,
+    several of a rule as they were found (O3)."""
+    rows = evaluated.select("path", "line", "column", "name", F.posexplode("findings").alias("at", "f")).select("path", "line", "column", "name", "at", "f.*")
+    own = Window.partitionBy("path").orderBy("line", "column", "rule", "name", "at")
+    return rows.withColumn("position", F.row_number().over(own)).drop("at")
+
+
+def summary_of(evaluated: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """One row: functions, incomplete functions, largest and mean density, and a count of each kind of effect in order."""
+    kinds = kinds or ["mutation", "io", "network", "global", "unsafe", "time", "random", "panic", "unknown"]
+    of_kind = lambda k: F.size(F.filter("effects_of", lambda e: e["kind"] == k))
+    counts = [F.sum(of_kind(k)).alias(f"n_{k}") for k in kinds]
+    mean = F.expr("coalesce(sum(density), 0) div greatest(count(*), 1)").alias("mean")
+    return evaluated.agg(F.count("*").alias("functions"), F.count_if(~F.col("complete")).alias("incomplete"), F.coalesce(F.max("density"), F.lit(0)).alias("largest"), mean, *counts)
+
+
+def fix_groups_of(evaluated: DataFrame, config: Config) -> DataFrame:
+    """`root, id, ordinal`: the fix groups of functions with findings, callees first (Q12). id is path:line:column name; calls are static
+    and local, joined by plain name."""
+    from .callgraph import callees_first, fix_groups, resolved_calls
+    from .policy import normalized_callee
+
+    f = evaluated.withColumn("id", F.format_string("%s:%010d:%010d %s", "path", "line", "column", "name")).withColumn("position", F.col("id"))
+    sites = f.select(F.col("id").alias("caller"), F.explode("calls").alias("c")).select("caller", F.col("c.callee").alias("callee_name"), F.coalesce("c.local", F.lit(False)).alias("local"), F.coalesce("c.dynamic", F.lit(False)).alias("dynamic"))
+    pairs = resolved_calls(sites, f.select("id", "name", "position"), normalized_callee)
+    bad = f.filter(F.size("findings") > 0)
+    wide = F.exists("findings", lambda x: x["rule"].isin(list(config.caller_rules)))
+    roots = fix_groups(bad.select("id", wide.alias("callers")), pairs, config.hops)
+    return callees_first(pairs, roots.withColumn("position", F.col("id")))
+
+
+def changed_only(diagnostics: DataFrame, touched: DataFrame) -> DataFrame:
+    """Diagnostics of functions (`path, name`) that a diff touches."""
+    return diagnostics.join(touched.select("path", "name").distinct(), ["path", "name"], "left_semi")

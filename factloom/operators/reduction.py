@@ -122,9 +122,10 @@ def anti_unify(a, b, _seen: dict | None = None):
 
 
 def common_root(paths: DataFrame, path_col: str) -> DataFrame:
-    """`root`: the longest folder that holds all paths: that of the least and the greatest."""
-    ends = paths.agg(F.min(path_col).alias("a"), F.max(path_col).alias("b"))
-    parts = F.arrays_zip(F.split(F.regexp_replace("a", "/[^/]*$", ""), "/").alias("x"), F.split(F.regexp_replace("b", "/[^/]*$", ""), "/").alias("y"))
+    """`root`: the longest folder that holds all paths: that of the least and the greatest. A path without a folder has the empty one."""
+    folder = lambda c: F.when(F.contains(F.col(c), F.lit("/")), F.regexp_replace(c, "/[^/]*$", "")).otherwise("")
+    ends = paths.agg(F.min(path_col).alias("a"), F.max(path_col).alias("b")).select(F.split(folder("a"), "/").alias("x"), F.split(folder("b"), "/").alias("y"))
+    parts = F.arrays_zip("x", "y")
     first = F.array_position(F.transform(parts, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False))), False)
     n = F.when(first == 0, F.size(parts)).otherwise(first - 1).cast("int")
-    return ends.select(F.array_join(F.slice(F.split(F.regexp_replace("a", "/[^/]*$", ""), "/"), F.lit(1), n), "/").alias("root"))
+    return ends.select(F.array_join(F.slice("x", F.lit(1), n), "/").alias("root"))

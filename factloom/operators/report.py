@@ -45,14 +45,16 @@ def first_by_id(candidates: DataFrame, id_col: str, *order: Column) -> DataFrame
 
 
 def fix_order(specs: DataFrame) -> DataFrame:
-    """Adds `kind_rank`; fixes are applied by (kind_rank, path, line descending, end descending), so that earlier lines stay put."""
+    """Adds `kind_rank`; fixes are applied by (kind_rank, path, line descending), so that earlier lines stay put."""
     rank = F.array_position(F.array(*map(F.lit, FIX_ORDER)), F.col("kind"))
     return specs.withColumn("kind_rank", F.when(rank == 0, len(FIX_ORDER) + 1).otherwise(rank).cast("int")).orderBy("kind_rank", "path", F.col("line").desc())
 
 
-def is_boilerplate(path: Column) -> Column:
-    """A segment is tests, main, ffi or raw, or begins with bindgen."""
-    return F.exists(F.split(F.lower(path), r"[/.:]+"), lambda s: s.isin("tests", "main", "ffi", "raw") | s.startswith("bindgen"))
+def is_boilerplate(name: Column, path: Column) -> Column:
+    """A function id with a part tests, ffi or raw, one that begins with bindgen, or main as its last; or one in a folder tests."""
+    parts = F.filter(F.split(name, "[/.]"), lambda s: s != "")
+    shim = F.exists(parts, lambda s: s.isin("tests", "ffi", "raw") | s.startswith("bindgen"))
+    return F.coalesce(shim | (F.try_element_at(parts, F.lit(-1)) == "main"), F.lit(False)) | F.coalesce(path.startswith("tests/") | path.contains("/tests/"), F.lit(False))
 
 
 def matches_any(value: Column, patterns: list[str]) -> Column:

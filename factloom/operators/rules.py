@@ -48,19 +48,30 @@ class Baskets:
         return n.join(n_ab, ["a", "b"]).filter((F.col("n") / self.n >= self.support) & (F.col("n") / F.col("n_ab") >= self.confidence))
 
     def disjunctive(self) -> DataFrame:
-        """`a, b, c, n`: A -> B or C, b < c, where neither A -> B nor A -> C is a rule; n counts baskets with A and B or C.
+        """`a, b, c, n, df_a`: A -> B or C, A frequent, b < c any items, where neither A -> B nor A -> C is a rule; n counts baskets
+        with A and B or C: |AB or AC| = |AB| + |AC| - |ABC|.
 
-        |AB or AC| = |AB| + |AC| - |ABC|.
+        An item that isn't frequent is never a consequent by itself, but may be an alternative. It only can if it makes up what A's
+        best other alternative lacks, so only items with as many baskets meet the frequent ones; no alternative is lost by that.
         """
         df = self.df.select(F.col("item").alias("a"), F.col("df").alias("df_a"))
-        pairs = self.pairs().join(df, "a")
         rule = (F.col("n") / self.n >= self.support) & (F.col("n") / F.col("df_a") >= self.confidence)
-        open_ = cut(pairs.filter(~rule))
-        b, c = open_.select("a", "df_a", F.col("b"), F.col("n").alias("n_b")), open_.select("a", F.col("b").alias("c"), F.col("n").alias("n_c"))
-        could = b.join(c, "a").filter("b < c").filter(F.col("n_b") + F.col("n_c") >= F.ceil(F.col("df_a") * self.confidence - 1e-9))
-        could = cut(could)
-        x = self.frequent.select("id", "item")
-        all_three = could.select("a", "b", "c").join(x.withColumnRenamed("item", "a"), "a").join(x.withColumnRenamed("item", "b"), ["id", "b"]).join(x.withColumnRenamed("item", "c"), ["id", "c"])
+        open_ = cut(self.pairs().join(df, "a").filter(~rule))
+        least = F.ceil(F.col("df_a") * self.confidence - 1e-9)
+        best = open_.groupBy("a").agg(F.max("n").alias("best"))
+        lack = cut(df.filter(F.col("df_a") >= self.least).join(best, "a", "left").withColumn("lack", F.greatest(least - F.greatest(F.coalesce("best", F.lit(0)), F.lit(self.least - 1)), F.lit(1))).select("a", "df_a", "lack"))
+        fewest = lack.agg(F.min("lack")).first()[0]
+        rare = self.sets.join(self.df.filter((F.col("df") < self.least) & (F.col("df") >= F.lit(fewest))).withColumnRenamed("df", "df_b"), "item").select("id", F.col("item").alias("b"), "df_b")
+        with_a = self.frequent.select("id", F.col("item").alias("a")).join(lack, "a")
+        met = with_a.join(rare, "id").filter("df_b >= lack").groupBy("a", "b", "df_a", "lack").agg(F.count("*").alias("n")).filter("n >= lack")
+        open_ = cut(open_.select("a", "b", "n", "df_a").union(met.select("a", "b", "n", "df_a")))
+        b, c = open_.withColumnRenamed("n", "n_b"), open_.select("a", F.col("b").alias("c"), F.col("n").alias("n_c"))
+        could = b.join(c, "a").filter("b < c").filter(F.col("n_b") + F.col("n_c") >= least)
+        could = cut(could.withColumn("few", F.when(F.col("n_b") <= F.col("n_c"), F.col("b")).otherwise(F.col("c"))).withColumn("many", F.when(F.col("n_b") <= F.col("n_c"), F.col("c")).otherwise(F.col("b"))))
+        used = could.select(F.explode(F.array("few", "many")).alias("item")).distinct()
+        x = cut(self.sets.join(used, "item").select("id", "item"))
+        has_few = self.frequent.select("id", F.col("item").alias("a")).join(could.select("a").distinct(), "a").join(x.withColumnRenamed("item", "few"), "id")
+        all_three = has_few.join(could.select("a", "few", "many", "b", "c"), ["a", "few"]).join(x.withColumnRenamed("item", "many"), ["id", "many"])
         n_abc = all_three.groupBy("a", "b", "c").agg(F.count("*").alias("n_abc"))
         out = could.join(n_abc, ["a", "b", "c"], "left").withColumn("n", F.col("n_b") + F.col("n_c") - F.coalesce("n_abc", F.lit(0)))
         return out.filter((F.col("n") / self.n >= self.support) & (F.col("n") / F.col("df_a") >= self.confidence)).select("a", "b", "c", "n", "df_a")

@@ -1,7 +1,8 @@
-"""Similar multisets, graph colours and kernels, clone groups."""
+"""Similar multisets, graph colours and kernels, clone groups."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -50,12 +51,17 @@ def similar_names(names: DataFrame, col: str, least: float, block: int = 1024) -
 
 
 def similar_multisets(bags: DataFrame, threshold: float) -> DataFrame:
-    """`a, b, inter, uni, jaccard`: pairs a < b of class representatives with Jaccard of at least the threshold, exact.
+    """`a, b, inter, uni, jaccard, member`: pairs a < b of class representatives with Jaccard of at least the threshold, exact; and, with
+    member true, each representative with every other member of its class, whose links are those of the representative.
 
-    Equal bags are one class, named by its smallest id. Tokens are (item, ordinal), rarest first; two bags that are similar
+    Equal bags are one class, named by its smallest id. An empty bag is like another empty one. Tokens are (item, ordinal), rarest first; two bags that are similar
     enough share one of their first size - ceil(t x size) + 1 tokens, so only those meet in an equality join.
     """
-    classes = cut(bags.withColumn("key", F.to_json(F.map_entries("bag"))).groupBy("key").agg(F.min("id").alias("id"), F.first("bag").alias("bag"), F.first("size").alias("size")).drop("key"))
+    keyed = cut(bags.withColumn("key", F.to_json(F.map_entries("bag"))))
+    named = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("bag").alias("bag"), F.first("size").alias("size")))
+    classes = named.drop("key")
+    same = keyed.select("key", F.col("id").alias("b"), "size").join(named.select("key", F.col("id").alias("a")), "key").filter("a <> b")
+    members = same.select("a", "b", F.col("size").alias("inter"), F.col("size").alias("uni"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("member"))
     tokens = classes.select("id", "size", F.explode("bag").alias("item", "n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("token", F.concat_ws("#", "item", "k"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
@@ -65,7 +71,7 @@ def similar_multisets(bags: DataFrame, threshold: float) -> DataFrame:
     met = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.id") < F.col("y.id")) & ratio).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = met.join(classes.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(classes.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
     out = pairs.select("a", "b", overlap(F.col("bag_a"), F.col("bag_b")).alias("inter"), union_size(F.col("bag_a"), F.col("bag_b")).alias("uni"))
-    return out.withColumn("jaccard", F.col("inter") / F.col("uni")).filter(F.col("jaccard") >= threshold)
+    return out.withColumn("jaccard", F.col("inter") / F.col("uni")).filter(F.col("jaccard") >= threshold).withColumn("member", F.lit(False)).union(members)
 
 
 def rarest_blocks(items: DataFrame, id_col: str, item_col: str, keep: int = 2, most: int = 1000) -> DataFrame:
@@ -85,11 +91,20 @@ def char_vectors(nodes: DataFrame, id_col: str, kind_col: str, kinds: list[str])
 
 
 def similar_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
-    """`a, b, cosine`: pairs a < b of class representatives (equal vectors are one class, named by its smallest id)."""
-    classes = vectors.groupBy("v").agg(F.min("id").alias("id"))
-    live = classes.select("id", "v", F.explode(F.transform(F.filter(F.arrays_zip(F.col("v").alias("x"), F.sequence(F.lit(1), F.size("v")).alias("d")), lambda e: e["x"] != 0), lambda e: e["d"])).alias("d"))
+    """`a, b, cosine, member`: pairs a < b of class representatives (equal vectors are one class, named by its smallest id); and, with
+    member true, each representative with every other member of its class. A zero vector is like none.
+
+    For vectors of counts, with few dimensions that are not zero. Two vectors meet by a dimension that is at least
+    threshold / dimensions of its length in both: the largest of a pair's products is at least their mean, so none is missed.
+    """
+    classes = cut(vectors.groupBy("v").agg(F.min("id").alias("id")))
+    some = vectors.select(F.col("id").alias("b"), "v").join(classes.select(F.col("id").alias("a"), "v"), "v").filter("a <> b").filter(F.exists("v", lambda x: x != 0))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    places = F.arrays_zip(F.col("v").alias("x"), F.sequence(F.lit(1), F.size("v")).alias("d"))
+    wide = F.filter(places, lambda e: F.abs(e["x"].cast("double")) >= norm * (F.lit(threshold) / F.size("v")) * (1 - 1e-9))
+    live = classes.filter(norm > 0).select("id", "v", F.explode(F.transform(wide, lambda e: e["d"])).alias("d"))
     met = live.alias("x").join(live.alias("y"), F.col("x.d") == F.col("y.d")).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.v").alias("va"), F.col("y.v").alias("vb")).dropDuplicates(["a", "b"])
-    return met.withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    return met.withColumn("cosine", cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= threshold).select("a", "b", "cosine", F.lit(False).alias("member")).union(some.select("a", "b", F.lit(1.0), F.lit(True)))
 
 
 def wl_histograms(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -150,6 +165,15 @@ def wl_similarity(histograms: DataFrame, pairs: DataFrame, rounds: DataFrame) ->
     return out.select("a", "b", F.expr("cast(1000 * coalesce(common, 0) div (h * (h + 1) div 2 * greatest(sa, sb)) as bigint)").alias("similarity"))
 
 
+def wl_at_least(histograms: DataFrame, pairs: DataFrame, rounds: DataFrame, limit: int) -> DataFrame:
+    """`a, b`: pairs whose similarity is at least the limit, in thousandths (P6). No round can have more in common than the smaller
+    graph has nodes, so pairs whose sizes rule it out never meet the histograms."""
+    size = histograms.filter("round = 0").groupBy("g").agg(F.sum("n").alias("size"))
+    p = pairs.select("a", "b").join(size.select(F.col("g").alias("a"), F.col("size").alias("x")), "a").join(size.select(F.col("g").alias("b"), F.col("size").alias("y")), "b")
+    able = p.filter(F.floor(1000 * F.least("x", "y") / F.greatest("x", "y")) >= limit).select("a", "b")
+    return wl_similarity(histograms, able, rounds).filter(F.col("similarity") >= limit).select("a", "b")
+
+
 def hyperplane_buckets(vectors: DataFrame, dim: int, tables: int = 16, planes: int = 4, seed: int = 42) -> DataFrame:
     """`id, t, bucket`: signs of products with seeded random planes, `planes` bits a table."""
     normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
@@ -165,24 +189,46 @@ def hyperplane_buckets(vectors: DataFrame, dim: int, tables: int = 16, planes: i
     return vectors.select("id", "v").mapInPandas(run, f"id {kind}, t int, bucket int")
 
 
-def clone_groups(vectors: DataFrame, dim: int, threshold: float, tables: int = 16, planes: int = 4, seed: int = 42) -> DataFrame:
-    """`id, root`: members of groups of two or more, linked where two vectors share a bucket and their cosine is enough."""
-    buckets = hyperplane_buckets(vectors, dim, tables, planes, seed)
-    keyed = buckets.join(vectors.select("id", "v"), "id")
+def forest(v: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Rows of length 1 to the links of a spanning forest of the graph that joins what has a cosine of at least the threshold."""
+    label, a, b = np.arange(len(v)), [], []
+    for at in range(0, len(v), 512):
+        near = v[at : at + 512] @ v.T >= threshold
+        for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            other = np.flatnonzero(near[i])
+            roots, first = np.unique(label[other], return_index=True)
+            new = roots != label[at + i]
+            if new.any():
+                a += [at + i] * int(new.sum())
+                b += other[first[new]].tolist()
+                label[np.isin(label, roots[new])] = label[at + i]
+    return a, b
+
+
+def clone_groups(vectors: DataFrame, dim: int, threshold: float, tables: int | None = None, planes: int | None = None, seed: int = 42, recall: float = 0.95, most: int = 8192) -> DataFrame:
+    """`id, root`: members of groups of two or more, linked where two vectors share a bucket and their cosine is enough.
+
+    Planes grow with the logarithm of the rows, so that a bucket of evenly spread vectors stays small; tables are as many as find a pair
+    at the threshold with probability `recall`, 16 at least. Buckets of over `most` rows, as copies make them, are dealt out as pairs of
+    parts. A task gives a spanning forest, never all pairs. Zero vectors are like none.
+    """
+    planes = planes or max(4, math.ceil(math.log2(max(vectors.count(), 1) / (most / 4))))
+    alike = 1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+    tables = tables or max(16, math.ceil(math.log(1 - recall) / math.log(1 - min(alike**planes, 1 - 1e-12))))
+    buckets = cut(hyperplane_buckets(vectors, dim, tables, planes, seed))
+    sizes = buckets.groupBy("t", "bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") * 2 / F.lit(most))).cast("int")).drop("n")
+    keyed = buckets.join(sizes, ["t", "bucket"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
+    keyed = keyed.select("t", "bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id").join(vectors.select("id", "v"), "id")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), dim)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        ids, a, b = pdf["id"].to_numpy(), [], []
-        for i in range(0, len(ids), 512):
-            x, y = np.nonzero(v[i : i + 512] @ v.T >= threshold)
-            ok = x + i < y
-            a.append(ids[x[ok] + i])
-            b.append(ids[y[ok]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        ids, v = pdf["id"].to_numpy(), v / np.maximum(norm, 1e-300)
+        a, b = forest(v, threshold)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     kind = dict(vectors.dtypes)["id"]
-    links = keyed.groupBy("t", "bucket").applyInPandas(solve, f"a {kind}, b {kind}").distinct()
+    links = keyed.groupBy("t", "bucket", "lo", "hi").applyInPandas(solve, f"a {kind}, b {kind}").distinct()
     return components(links).select(F.col("node").alias("id"), "root")
 
 

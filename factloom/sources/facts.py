@@ -1,19 +1,26 @@
-"""Facts, policies, baselines, annotations, cached results and files as tables."""
+"""Facts, policies, baselines, annotations, cached results and files as tables."""
 
 from __future__ import annotations
 
+import re
 import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import cut
 from ..operators.quality import LIMITS, WEIGHTS, Config
 
 FACTS = """schema_version int, functions array<struct<path: string, line: int, column: int, name: string, params: int, has_self: boolean, statements: int, code_lines: int, source: string, preceding_line: string,
  mutations: array<struct<root: string, root_id: string, field_path: string, line: int, provenance: string>>,
  calls: array<struct<callee: string, line: int, dynamic: boolean, local: boolean, args: array<struct<kind: string, param: int>>>>,
  effects: array<struct<kind: string, detail: string, line: int, via: string>>,
- param_list: array<struct<name: string, type: string, uses: int>>, ddd: array<struct<rule_id: string, line: int, detail: string>>>>"""
+ param_list: array<struct<name: string, type: string, uses: int>>, ddd: array<struct<rule_id: string, line: int, detail: string>>,
+ helpers: array<struct<name: string,
+  mutations: array<struct<root: string, root_id: string, field_path: string, line: int, provenance: string>>,
+  calls: array<struct<callee: string, line: int, dynamic: boolean, local: boolean, args: array<struct<kind: string, param: int>>>>,
+  effects: array<struct<kind: string, detail: string, line: int, via: string>>>>>>"""
 
 
 def read_facts(spark: SparkSession, path: str, versions: tuple[int, ...] = (1, 2), lines: bool = False) -> DataFrame:
@@ -99,8 +106,8 @@ class Annotations:
         gone = (F.col("repository") == repository) & (F.col("id") == id_)
         if old.filter(gone).isEmpty():
             raise KeyError(id_)
-        kept = old.filter(~gone).collect()  # notes by hand: a small table
-        self.spark.createDataFrame(kept, self.SCHEMA).write.mode("overwrite").parquet(self.path)
+        kept = cut(old.filter(~gone))  # whole before the folder is written anew; stays if that fails
+        kept.write.mode("overwrite").parquet(self.path)
 
 
 def cached(results, keys: DataFrame, path: str, version: int, key: str = "key") -> DataFrame:
@@ -120,7 +127,11 @@ def cached(results, keys: DataFrame, path: str, version: int, key: str = "key")
 
 
 def xml_spans(files: DataFrame, row_tag: str) -> DataFrame:
-    """`path, start, end`: where elements of a tag stand in each text (`path, content`), innermost only."""
-    pattern = rf"<{row_tag}\b[^>]*>(?:(?!<{row_tag}\b).)*?</{row_tag}>"
-    hits = files.select("path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"(?s)({pattern})"), F.lit(1)))).alias("x"))
-    return hits.select("path", (F.instr("content", F.col("x")) - 1).alias("start"), (F.instr("content", F.col("x")) - 1 + F.char_length("x")).alias("end"))
+    """`path, start, end`: where elements of a tag stand in each text (`path, content`), innermost only, equal ones each."""
+    pattern = re.compile(rf"<{re.escape(row_tag)}\b[^>]*>(?:(?!<{re.escape(row_tag)}\b).)*?</{re.escape(row_tag)}>", re.S)
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [m.span() for m in pattern.finditer(t or "")])
+
+    return files.filter(F.contains("content", F.lit(f"</{row_tag}>"))).select("path", F.explode(places("content")).alias("x")).select("path", "x.start", "x.end")

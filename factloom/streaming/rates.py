@@ -35,11 +35,21 @@ def sessions(events: DataFrame, time_col: str, key_col: str, gap: str = "30 minu
     return events.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap), key_col).agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its memory table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns what its last batch gave, in `complete` mode the whole result.
+
+    Each batch is written as Parquet to a folder of its own under path, which all executors share, so the driver holds no rows and
+    a batch that is run again overwrites what it wrote before.
+    """
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, last = stream.sparkSession, query.lastProgress
+    if last is None:  # nothing was there
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={last['batchId']}")
 
 
 def change_feed(stream: DataFrame, publish: Callable[[int, DataFrame], None], checkpoint: str, mode: str = "update"):

@@ -92,9 +92,9 @@ def test_streams_equal_batches(spark, tmp_path):
     schema = "f long, kind string, ok boolean"
     stream = lambda: rates.file_stream(spark, str(tmp_path / "in" / "*"), schema, 1)
     batch = spark.read.parquet(str(tmp_path / "in" / "*"))
-    a = rates.run_available(rates.stream_density(stream(), "f", "kind", {"io": 3, "unknown": 1}), "t_density", str(tmp_path / "c1"))
+    a = rates.run_available(rates.stream_density(stream(), "f", "kind", {"io": 3, "unknown": 1}), str(tmp_path / "c1"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, rates.stream_density(batch, "f", "kind", {"io": 3, "unknown": 1}).collect()))
-    b = rates.run_available(rates.stream_beliefs(stream(), "f", "ok"), "t_beliefs", str(tmp_path / "c2"))
+    b = rates.run_available(rates.stream_beliefs(stream(), "f", "ok"), str(tmp_path / "c2"))
     assert sorted(map(tuple, b.collect())) == sorted(map(tuple, rates.stream_beliefs(batch, "f", "ok").collect()))
     seen = []
     rates.change_feed(rates.stream_beliefs(stream(), "f", "ok"), lambda n, df: seen.append((n, df.count())), str(tmp_path / "c3")).awaitTermination()
