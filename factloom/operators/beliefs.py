@@ -14,5 +14,5 @@ def beliefs(sites: DataFrame, callee_col: str, checked_col: str, least: int = 5,
 
 def belief_violations(sites: DataFrame, callee_col: str, checked_col: str, least: int = 5, fraction: float = 0.9) -> DataFrame:
     """The unchecked sites of callees that are believed to need a check, with the belief."""
-    held = beliefs(sites, callee_col, checked_col, least, fraction)
-    return sites.filter(~F.col(checked_col)).join(held, F.col(callee_col) == F.col("callee")).drop("callee")
+    held = beliefs(sites, callee_col, checked_col, least, fraction).withColumnRenamed("callee", "__believed")
+    return sites.filter(~F.col(checked_col)).join(held, F.col(callee_col) == F.col("__believed")).drop("__believed")

@@ -1,4 +1,4 @@
-"""Clone detection on dependence graphs: candidate pairs, kernels, groups, greedy templates, alignment.
+"""Clone detection on dependence graphs: candidate pairs, kernels, groups, greedy templates, alignment, holes.
 
 Graphs are `g, node, label[, kind]` and `g, src, dst, tag[, kind]`, one function each.
 """
@@ -10,13 +10,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import names_at_least
+from ..functions.text import bit_names, has_receiver, names_at_least
 from ..functions.vectors import cosine, overlap, union_size
 from .checkpoint import cut
 from .graphs import components
+from .groups import effect_union
 from .similarity import graph_rounds, hyperplane_buckets, wl_histograms, wl_similarity
 
 
@@ -25,11 +26,16 @@ def mineable(nodes: DataFrame, least_nodes: int = 4, least_calls: int = 1) -> Da
     return nodes.groupBy("g").agg(F.count("*").alias("size"), F.count_if(F.col("kind") == "call").alias("calls")).filter((F.col("size") >= least_nodes) & (F.col("calls") >= least_calls)).select("g", "size")
 
 
+def comparable(pairs: DataFrame, size_a: str, size_b: str, ratio: int = 2) -> DataFrame:
+    """Pairs of which the larger has at most `ratio` times the smaller's nodes."""
+    return pairs.filter(F.greatest(size_a, size_b) <= ratio * F.least(size_a, size_b))
+
+
 def candidate_pairs(profiles: DataFrame, blocks: DataFrame, jaccard: float = 0.8, least_cosine: float = 0.9, winkler: float = 0.5, ratio: int = 2) -> DataFrame:
     """`a, b`: pairs of `blocks` (`a, b`) whose sizes differ at most by `ratio` and that are similar in their syntax kinds, or in
     their counts and names. profiles: `g, size, kinds map, v array, name`; an empty name passes the name test."""
     side = lambda s: profiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("g", "size", "kinds", "v", "name")])
-    p = blocks.join(side("a"), F.col("a") == F.col("g_a")).join(side("b"), F.col("b") == F.col("g_b")).filter(F.greatest("size_a", "size_b") <= ratio * F.least("size_a", "size_b"))
+    p = comparable(blocks.join(side("a"), F.col("a") == F.col("g_a")).join(side("b"), F.col("b") == F.col("g_b")), "size_a", "size_b", ratio)
     kinds = (union_size(F.col("kinds_a"), F.col("kinds_b")) > 0) & (overlap(F.col("kinds_a"), F.col("kinds_b")) >= jaccard * union_size(F.col("kinds_a"), F.col("kinds_b")))
     nameless = (F.col("name_a") == "") | (F.col("name_b") == "")
     close = cosine(F.col("v_a").cast("array<double>"), F.col("v_b").cast("array<double>")) >= least_cosine
@@ -113,34 +119,51 @@ def inconsistent(groups: DataFrame, similarities: DataFrame, low: int = 900, hig
     return hit.select("root").distinct()
 
 
-def template_clusters(pairs: DataFrame, order: DataFrame, least: int = 600) -> DataFrame:
-    """`seed, g`: greedy groups over similar pairs (`a, b, similarity`): the seed is the free graph with the most free neighbours,
-    the first in `order` (`g, position`) of equals; it takes them, and all retire. A seed with none retires alone.
+def template_clusters(pairs: DataFrame, order: DataFrame, nodes: DataFrame, edges: DataFrame, least: int = 600, coverage: int = 600, tries: int = 3) -> DataFrame:
+    """`template, g, coverage`: greedy groups over similar pairs (`a, b, similarity`, all pairs compared), the template with 1000 itself.
+
+    The seed is the free graph with the most free neighbours, the first in `order` (`g, position`) of equals. Of it and these, the
+    `tries` members of the largest similarity in sum are tried as templates: who aligns with one to `coverage` thousandths joins; the
+    one that most join counts, then the largest coverage in sum. Who joined retires, or, if none did, the seed alone.
 
-    Choices in one connected component don't touch another, so each component is one task.
+    Choices in one connected component don't touch another, so each component is one task, with its graphs.
     """
-    near = cut(pairs.filter(F.col("similarity") >= least).select("a", "b"))
-    roots = components(near)
-    own = near.join(roots, F.col("a") == F.col("node")).select("root", "a", "b")
-    own = own.join(order.select(F.col("g").alias("a"), F.col("position").alias("pa")), "a").join(order.select(F.col("g").alias("b"), F.col("position").alias("pb")), "b")
+    near = cut(pairs.filter(F.col("similarity") >= least).select("a", "b", "similarity"))
+    roots = cut(components(near))
+    links = near.join(roots, F.col("a") == F.col("node")).select(F.col("root").alias("part"), "a", "b", "similarity")
+    graphs = roots.join(order, F.col("node") == F.col("g")).join(_graph_lists(nodes, edges), "g").select("root", "g", "position", "nodes", "edges")
     kind = dict(order.dtypes)["g"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links, place = defaultdict(set), {}
-        for a, b, pa, pb in pdf[["a", "b", "pa", "pb"]].itertuples(index=False):
-            links[a].add(b)
-            links[b].add(a)
-            place[a], place[b] = pa, pb
-        free, out = set(place), []
+    def run(own: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        place = dict(zip(own["g"], own["position"]))
+        graph = {r.g: _plain_graph(r.nodes, r.edges) for r in own.itertuples(index=False)}
+        near, like = defaultdict(set), {}
+        for a, b, s in pdf[["a", "b", "similarity"]].itertuples(index=False):
+            near[a].add(b)
+            near[b].add(a)
+            like[a, b] = like[b, a] = s
+        cover = {}
+
+        def covered(t, g) -> int:
+            if (t, g) not in cover:
+                cover[t, g] = 1000 * len(align_pair(*graph[t][:2], *graph[g][:2])) // max(len(graph[t][0]), len(graph[g][0]), 1)
+            return cover[t, g]
+
+        free, out = set(near), []
         while free:
-            seed = min(free, key=lambda v: (-len(links[v] & free), place[v]))
-            group = links[seed] & free
-            if group:
-                out += [(seed, v) for v in sorted(group | {seed}, key=place.get)]
-            free -= group | {seed}
-        return pd.DataFrame(out, columns=["seed", "g"])
+            seed = min(free, key=lambda v: (-len(near[v] & free), place[v]))
+            group = sorted((near[seed] & free) | {seed}, key=place.get)
+            total = {v: sum(like.get((v, w), 0) for w in group) for v in group}
+            best, found = (0, 0), []
+            for t in sorted(group, key=lambda v: (-total[v], place[v]))[:tries]:
+                joined = [(g, covered(t, g)) for g in group if g != t and covered(t, g) >= coverage]
+                if (len(joined), sum(c for _, c in joined)) > best:
+                    best, found = (len(joined), sum(c for _, c in joined)), [(t, t, 1000), *((t, g, c) for g, c in joined)]
+            out += found
+            free -= {g for _, g, _ in found} or {seed}
+        return pd.DataFrame(out, columns=["template", "g", "coverage"])
 
-    return own.groupBy("root").applyInPandas(run, f"seed {kind}, g {kind}")
+    return graphs.groupBy("root").cogroup(links.groupBy("part")).applyInPandas(run, f"template {kind}, g {kind}, coverage long")
 
 
 def align_pair(labels_a: dict, edges_a: set, labels_b: dict, edges_b: set, rounds: int = 3) -> list[tuple]:
@@ -186,25 +209,103 @@ def align_pair(labels_a: dict, edges_a: set, labels_b: dict, edges_b: set, round
     return sorted(match.items())
 
 
-def alignments(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`a, b, matched, coverage, holes`: for each pair the matched nodes, their share of the larger graph in thousandths, and how
-    many matched nodes differ in `detail` (holes of a template)."""
-    n = nodes.groupBy("g").agg(F.collect_list(F.struct("node", "label", "detail")).alias("nodes"))
-    e = edges.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "tag")).alias("edges"))
-    whole = n.join(e, "g", "left")
+def _graph_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`g, nodes, edges`: each graph as one row."""
+    n = nodes.groupBy("g").agg(F.collect_list(F.struct("node", "label")).alias("nodes"))
+    return n.join(edges.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "tag")).alias("edges")), "g", "left")
+
+
+def _plain_graph(nodes, edges) -> tuple[dict, set]:
+    return {x["node"]: x["label"] for x in nodes}, {(x["src"], x["dst"], x["tag"]) for x in (edges if edges is not None else ())}
+
+
+def matched_nodes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`a, b, node_a, node_b`: the matching of every pair of graphs, as align_pair finds it."""
+    whole = _graph_lists(nodes, edges)
     side = lambda s: whole.select(F.col("g").alias(s), F.col("nodes").alias(f"n{s}"), F.col("edges").alias(f"e{s}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    kind = dict(nodes.dtypes)["g"]
+    kinds = dict(nodes.dtypes)
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                la, lb = ({x["node"]: x["label"] for x in y} for y in (r.na, r.nb))
-                da, db = ({x["node"]: x["detail"] for x in y} for y in (r.na, r.nb))
-                ea, eb = ({(x["src"], x["dst"], x["tag"]) for x in (y if y is not None else ())} for y in (r.ea, r.eb))
-                m = align_pair(la, ea, lb, eb)
-                out.append((r.a, r.b, len(m), 1000 * len(m) // max(len(la), len(lb)), sum(da[x] != db[y] for x, y in m)))
-            yield pd.DataFrame(out, columns=["a", "b", "matched", "coverage", "holes"]).astype({"matched": np.int64, "coverage": np.int64, "holes": np.int64})
-
-    return rows.mapInPandas(run, f"a {kind}, b {kind}, matched long, coverage long, holes long")
+                out += [(r.a, r.b, x, y) for x, y in align_pair(*_plain_graph(r.na, r.ea), *_plain_graph(r.nb, r.eb))]
+            yield pd.DataFrame(out, columns=["a", "b", "node_a", "node_b"])
+
+    return rows.mapInPandas(run, f"a {kinds['g']}, b {kinds['g']}, node_a {kinds['node']}, node_b {kinds['node']}")
+
+
+def alignments(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`a, b, matched, coverage, holes`: for each pair the matched nodes, their share of the larger graph in thousandths, and how
+    many matched nodes differ in `detail`."""
+    met = matched_nodes(nodes, edges, pairs)
+    side = lambda s: nodes.select(F.col("g").alias(s), F.col("node").alias(f"node_{s}"), F.col("detail").alias(f"d_{s}"))
+    met = met.join(side("a"), ["a", "node_a"]).join(side("b"), ["b", "node_b"]).groupBy("a", "b").agg(F.count("*").alias("matched"), F.count_if(~F.col("d_a").eqNullSafe(F.col("d_b"))).alias("holes"))
+    size = nodes.groupBy("g").agg(F.count("*").alias("n"))
+    p = pairs.select("a", "b").join(size.select(F.col("g").alias("a"), F.col("n").alias("sa")), "a").join(size.select(F.col("g").alias("b"), F.col("n").alias("sb")), "b")
+    full = p.join(met, ["a", "b"], "left").fillna(0, ["matched", "holes"])
+    return full.select("a", "b", "matched", F.expr("1000 * matched div greatest(sa, sb)").alias("coverage"), "holes")
+
+
+#: Kinds of holes in their order, and the letter of each one's variables.
+HOLES = {"type": "T", "method": "M", "free_fn": "F", "literal": "L", "field": "D", "op": "O", "effect": "X"}
+#: Names of effect bits, from the lowest.
+EFFECT_BITS = ["mutates", "io", "network", "global", "unsafe", "time", "random", "panic", "unknown"]
+
+
+def holes(matched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`a, b, var, kind, x, y, site, sites`: what matched nodes (`a, b, node_a, node_b`) differ in (P17). nodes: `g, node, kind, callee,
+    detail, type_class, effects`.
+
+    Calls, and functions as values, differ in the callee if both have one; literals without a callee and fields in their text; operators
+    if both are comparisons; calls in their effects; all in their type class if both have one. Equal differences are one hole: it
+    stands at the first node of a, and in the order of that and of the kind, holes of a kind are numbered from 0.
+    """
+    fields = ("kind", "callee", "detail", "type_class", "effects")
+    side = lambda s: nodes.select(F.col("g").alias(s), F.col("node").alias(f"node_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields])
+    m = matched.join(side("a"), ["a", "node_a"]).join(side("b"), ["b", "node_b"])
+    a, b = ((lambda c, s=s: F.coalesce(F.col(f"{c}_{s}"), F.lit(""))) for s in "ab")
+    one = lambda kind, x, y, when: F.when(when & (x != y), F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y")))
+    both = lambda c: (a(c) != "") & (b(c) != "")
+    kind = F.col("kind_a")
+    method = (kind == "call") & (has_receiver(a("callee")) | has_receiver(b("callee")))
+    compared = a("detail").startswith("cmp:") & b("detail").startswith("cmp:")
+    cut4 = lambda c: F.substring(c, 5, 1 << 20)
+    bits = lambda s: bit_names(F.coalesce(F.col(f"effects_{s}"), F.lit(0)), EFFECT_BITS)
+    found = F.array_compact(
+        F.array(
+            one("method", a("callee"), b("callee"), both("callee") & method), one("free_fn", a("callee"), b("callee"), both("callee") & ~method), one("literal", a("detail"), b("detail"), (kind == "lit") & (a("callee") == "")),
+            one("field", a("detail"), b("detail"), kind == "field"), one("op", cut4(a("detail")), cut4(b("detail")), (kind == "op") & compared), one("effect", bits("a"), bits("b"), (kind == "call") & (F.col("kind_b") == "call")),
+            one("type", a("type_class"), b("type_class"), both("type_class")),
+        )
+    )
+    rows = m.select("a", "b", "node_a", "node_b", F.explode(found).alias("h")).groupBy("a", "b", "h").agg(F.min("node_a").alias("site"), F.array_sort(F.collect_list(F.struct("node_a", "node_b"))).alias("sites"))
+    return _numbered(rows.select("a", "b", "h.kind", "h.x", "h.y", "site", "sites"), ["a", "b"], "x", "y")
+
+
+def _numbered(rows: DataFrame, group: list[str], *ties: str) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, HOLES)), F.col("kind"))
+    letter = F.create_map(*[F.lit(v) for kv in HOLES.items() for v in kv])[F.col("kind")]
+    at = F.row_number().over(Window.partitionBy(*group, "kind").orderBy("site", rank, *ties)) - 1
+    return rows.withColumn("var", F.concat(letter, at.cast("string")))
+
+
+def template_columns(clusters: DataFrame, found: DataFrame) -> DataFrame:
+    """`template, var, kind, g, value`: what stands at each hole of a template in each of its members, itself included. clusters: as
+    template_clusters gives them; found: holes of (template, member). A member without the hole has the template's value."""
+    at = found.groupBy(F.col("a").alias("template"), "kind", "x").agg(F.min("site").alias("site"))
+    named = _numbered(at, ["template"], "x")
+    own = found.groupBy(F.col("a").alias("template"), F.col("b").alias("g"), "kind", "x").agg(F.min_by("y", F.struct("site", "y")).alias("y"))
+    full = clusters.select("template", "g").join(named, "template").join(own, ["template", "g", "kind", "x"], "left")
+    return full.select("template", "var", "kind", "g", F.coalesce("y", "x").alias("value"))
+
+
+def clone_clusters(groups: DataFrame, effects: DataFrame, nodes: DataFrame, edges: DataFrame, coverage: int = 600) -> DataFrame:
+    """`template, g, coverage`: clone groups (`g, root`) whose functions all have the same effects (`g, bits`), as clusters of those that
+    align with the group's first (P21)."""
+    same = effect_union(groups.join(effects, "g"), "root", "g", "bits").select("root")
+    own = groups.join(same, "root")
+    near = alignments(nodes, edges, own.filter("g <> root").select(F.col("root").alias("a"), F.col("g").alias("b"))).filter(F.col("coverage") >= coverage)
+    joined = near.select(F.col("a").alias("template"), F.col("b").alias("g"), F.col("coverage").cast("long").alias("coverage"))
+    return joined.union(joined.select("template", F.col("template").alias("g"), F.lit(1000).cast("long")).distinct())

@@ -69,9 +69,12 @@ def data_clumps(params: DataFrame, function_col: str, item_col: str, least_items
     met = pairs.filter(F.size("items") >= least_items).select("items", F.explode(F.array("a", "b")).alias("k")).union(classes.filter("members > 1").select("items", "k")).distinct()
     found = met.join(classes.select("k", "members"), "k").groupBy("items").agg(F.sum("members").cast("long").alias("functions")).filter(F.col("functions") >= least_functions)
     out = without_subsets(cut(found), "items")
-    if placeholders is not None:
-        out = out.filter(F.exists("items", lambda x: ~F.lower(F.substring_index(x, ":", 1)).isin(placeholders)))
-    return out
+    return out if placeholders is None else meaningful(out, "items", placeholders)
+
+
+def meaningful(sets: DataFrame, set_col: str, placeholders: list[str] = PLACEHOLDERS) -> DataFrame:
+    """Sets of name:type with a name that is no placeholder."""
+    return sets.filter(F.exists(set_col, lambda x: ~F.lower(F.substring_index(x, ":", 1)).isin(placeholders)))
 
 
 def split_words(name):

@@ -1,4 +1,4 @@
-"""Streams of candidates as one report."""
+"""Streams of candidates as one report."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidate builders by kind, in the order of registration.
-MINERS: dict[str, Callable[..., DataFrame]] = {}
 #: Kinds in the order their fixes are applied.
 FIX_ORDER = [
     "guard_clause", "primitive_obsession", "value_object", "factory", "specification", "missing_identity", "entity_identity", "domain_service",
@@ -19,16 +17,6 @@ FIX_ORDER = [
 FIX_PHASES = [FIX_ORDER[:2], FIX_ORDER[2:3], FIX_ORDER[3:14], FIX_ORDER[14:]]
 
 
-def miner(kind: str):
-    """Registers a function that returns candidates `score, observation, sites array<struct<path, line, id, name>>`."""
-
-    def put(build):
-        MINERS[kind] = build
-        return build
-
-    return put
-
-
 def union_ranked(streams: dict[str, DataFrame]) -> DataFrame:
     """All candidates with their kind; a report is read in the order of `best_first`."""
     return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in streams.items()])

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import clones, graphs, policy, quality, report
+from ..operators import clones, graphs, groups, policy, quality, reduction, report, rollup, similarity
 from ..operators.checkpoint import cut, shared_dir
 from ..sources import facts
 from .catalog import _FLOW, _flow, query, read
@@ -189,3 +189,78 @@ def policy_kinds(spark, sf_dir):
     callee = F.concat(F.replace("p_name", F.lit(" "), F.lit("[T].")), F.lit("<U>"))
     named = read(spark, sf_dir, "part").select("p_partkey", policy.normalized_callee(callee).alias("callee"))
     return policy.longest_prefix(named, "callee", [("red", "io"), ("red[", "time")], "unknown").select("p_partkey", "kind")
+
+
+# --- fixes, reductions, clones ----------------------------------------------------------------------------------------------------
+
+
+@query("applied_edits", "SELECT 'c' || c_custkey AS path, upper(c_name[1:4]) || '-' || c_name[9:] AS text, CAST(2 AS INTEGER) AS applied, CAST(1 AS INTEGER) AS skipped FROM customer")
+def applied_edits(spark, sf_dir):
+    """Three edits of each customer's name, bottom up: the last one overlaps what is done, and is skipped."""
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_name").alias("text"))
+    edit = lambda a, b, new: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), new.alias("replacement"))
+    edits = c.select("path", F.explode(F.array(edit(0, 4, F.upper(F.left("text", F.lit(4)))), edit(4, 8, F.lit("-")), edit(2, 6, F.lit("?")))).alias("e")).select("path", "e.*")
+    return reduction.apply_edits(edits, c)
+
+
+@query("reduced_lines", "SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation WHERE n_regionkey = 3")
+def reduced_lines(spark, sf_dir):
+    """The nations' names, reduced to what still has all of one region's."""
+    rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # the text of one reduction is the driver's
+    wanted = {r.n_name for r in rows if r.n_regionkey == 3}
+    text, _ = reduction.reduce_lines("".join(f"{r.n_name}\n" for r in rows), lambda t: wanted <= set(t.split("\n")))
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@query("nested_report", "SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS functions FROM orders GROUP BY o_custkey")
+def nested_report(spark, sf_dir):
+    nested = rollup.nested_report(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", order=["o_orderkey"])
+    return nested.withColumn("functions", F.array_join(F.transform("functions", lambda f: F.concat_ws(":", f["o_orderkey"].cast("string"), f["o_orderstatus"])), ","))
+
+
+@query("common_root", "SELECT 'a' AS root")
+def common_root(spark, sf_dir):
+    paths = read(spark, sf_dir, "part").select(F.concat(F.lit("a/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/x.go")).alias("p"))
+    return reduction.common_root(paths, "p")
+
+
+@query("structure_changes", """
+SELECT coalesce(x.k, y.k) AS id, CASE WHEN x.k IS NULL THEN 'added' WHEN y.k IS NULL THEN 'removed' WHEN x.h = y.h THEN 'cosmetic' ELSE 'structural' END AS change
+FROM (SELECT c_custkey AS k, c_nationkey AS h FROM customer WHERE c_acctbal > 0) x FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN 99 ELSE c_nationkey END AS h FROM customer WHERE c_acctbal < 8000) y ON x.k = y.k""")
+def structure_changes(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    old = c.filter("c_acctbal > 0").select("c_custkey", F.col("c_nationkey").alias("h"))
+    new = c.filter("c_acctbal < 8000").select("c_custkey", F.when(F.col("c_acctbal") > 5000, 99).otherwise(F.col("c_nationkey")).alias("h"))
+    return similarity.structure_changes(old, new, "c_custkey", "h")
+
+
+@query("inconsistent_pairs", """
+WITH RECURSIVE t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages), n AS (SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT page_id, string_agg(tag || n, ' ' ORDER BY tag) AS key, CAST(sum(n) AS BIGINT) AS size FROM n GROUP BY page_id), c AS MATERIALIZED (SELECT min(page_id) AS id, size FROM k GROUP BY key, size), m AS MATERIALIZED (SELECT id, tag, n, size FROM c JOIN n ON n.page_id = c.id),
+p AS MATERIALIZED (SELECT x.id AS a, y.id AS b, CAST(1000 * sum(least(x.n, y.n)) // (any_value(x.size) + any_value(y.size) - sum(least(x.n, y.n))) AS BIGINT) AS s FROM m x JOIN m y ON x.tag = y.tag AND x.id < y.id GROUP BY x.id, y.id),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE s >= 950 UNION SELECT b, a FROM p WHERE s >= 950), r(node, root) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.root), g AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT DISTINCT x.root FROM p JOIN g x ON x.node = p.a JOIN g y ON y.node = p.b AND y.root = x.root WHERE s >= 950 AND s < 980""")
+def inconsistent_pairs(spark, sf_dir):
+    """Groups of pages whose tags are alike to 950 thousandths, in which some pair is not alike to 980."""
+    tags = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    pairs = similarity.similar_multisets(similarity.multisets(tags, "page_id", "tag"), 0.95).filter("not member").select("a", "b", F.expr("1000 * inter div uni").alias("similarity"))
+    pairs = cut(pairs.filter("similarity >= 950"))
+    found = graphs.components(pairs).select(F.col("node").alias("g"), "root")
+    return clones.inconsistent(found, pairs, 950, 980)
+
+
+@query("comparable_pairs", """
+WITH s AS (SELECT user_id AS g, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS calls FROM events GROUP BY user_id)
+SELECT x.g AS a, y.g AS b FROM s x JOIN s y ON x.g + 1 = y.g WHERE x.n >= 4 AND y.n >= 4 AND x.calls >= 1 AND y.calls >= 1 AND greatest(x.n, y.n) <= 2 * least(x.n, y.n)""")
+def comparable_pairs(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "call").otherwise("op")
+    size = clones.mineable(read(spark, sf_dir, "events").select(F.col("user_id").alias("g"), kind.alias("kind")))
+    x, y = size.select(F.col("g").alias("a"), F.col("size").alias("sa")), size.select(F.col("g").alias("b"), F.col("size").alias("sb"))
+    return clones.comparable(x.join(y, F.col("a") + 1 == F.col("b")), "sa", "sb").select("a", "b")
+
+
+@query("placeholder_names", "SELECT p_partkey FROM part WHERE p_size >= 26")
+def placeholder_names(spark, sf_dir):
+    item = F.when(F.col("p_size") < 26, F.concat(F.lit("tmp:"), F.col("p_type"))).otherwise(F.concat(F.lit("street:"), F.col("p_type")))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.array(item, F.lit("x:int")).alias("items"))
+    return groups.meaningful(p, "items").select("p_partkey")
