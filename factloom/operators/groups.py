@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,22 +56,89 @@ CONCEPTS = [
 ]
 
 
+#: Items up to which sets are compared as bits, in blocks of this many sets.
+DENSE, BLOCK = 1024, 4096
+
+
 def data_clumps(params: DataFrame, function_col: str, item_col: str, least_items: int = 2, least_functions: int = 3, placeholders: list[str] | None = None) -> DataFrame:
     """`items, functions`: sets of items that are exactly the intersection of two functions', in enough functions, maximal.
 
-    A function's items are its distinct ones. Functions with equal item sets meet as one; pairs of item sets meet by a shared
-    item. Only pairs whose intersection is exactly the set support it. Items are name:type; with placeholders, sets of none
-    but such names are dropped.
+    A function's items are its distinct ones. Functions with equal item sets meet as one. Only pairs whose intersection is exactly the
+    set support it. Items are name:type; with placeholders, sets of none but such names are dropped.
+
+    Where there are few items, most sets share some, so all are compared, as bits, in pairs of blocks: a task gives each set's distinct
+    intersections, not its pairs. Where there are many, sets meet by a shared item.
     """
     own = params.select(F.col(function_col).alias("f"), F.col(item_col).alias("item")).filter("item is not null").distinct()
+    names = [r.item for r in own.select("item").distinct().orderBy("item").limit(DENSE + 1).collect()]
     sets = own.groupBy("f").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") >= least_items)
-    classes = cut(sets.groupBy("items").agg(F.count("*").alias("members")).withColumn("k", F.xxhash64("items")))
+    classes = cut(sets.groupBy("items").agg(F.count("*").alias("members")).withColumn("k", F.monotonically_increasing_id()))
+    out = _dense_clumps(classes, names, least_items, least_functions) if len(names) <= DENSE else _sparse_clumps(classes, least_items, least_functions)
+    return out if placeholders is None else meaningful(out, "items", placeholders)
+
+
+def _sparse_clumps(classes: DataFrame, least_items: int, least_functions: int) -> DataFrame:
     by_item = classes.select("k", "items", F.explode("items").alias("item"))
     pairs = by_item.alias("x").join(by_item.alias("y"), F.col("x.item") == F.col("y.item")).filter("x.k < y.k").groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.array_sort(F.collect_list("x.item")).alias("items"))
     met = pairs.filter(F.size("items") >= least_items).select("items", F.explode(F.array("a", "b")).alias("k")).union(classes.filter("members > 1").select("items", "k")).distinct()
     found = met.join(classes.select("k", "members"), "k").groupBy("items").agg(F.sum("members").cast("long").alias("functions")).filter(F.col("functions") >= least_functions)
-    out = without_subsets(cut(found), "items")
-    return out if placeholders is None else meaningful(out, "items", placeholders)
+    return without_subsets(cut(found), "items")
+
+
+def _bits(masks: pd.Series, words: int) -> np.ndarray:
+    return np.array(masks.tolist(), np.int64).reshape(len(masks), words).view(np.uint64)
+
+
+def _in_blocks(rows: DataFrame, key: str, solve, schema: str) -> DataFrame:
+    """rows, in parts of about BLOCK, of which each pair is a task: solve(left, right) of two parts, left before or the same as right."""
+    parts = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("j")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        return solve(pdf[pdf["i"] == lo], pdf[pdf["i"] == hi])
+
+    return dealt.groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _dense_clumps(classes: DataFrame, names: list[str], least_items: int, least_functions: int) -> DataFrame:
+    words = max(1, -(-len(names) // 64))
+    places = F.create_map(*[F.lit(v) for kv in zip(names, range(len(names))) for v in kv]) if names else F.lit(None).cast("map<string, int>")
+    word = lambda w: F.aggregate(F.filter(F.transform("items", lambda x: places[x]), lambda p: F.floor(p / 64) == w), F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)))
+    coded = cut(classes.select("k", "members", F.array(*[word(w) for w in range(words)]).alias("mask")))
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b, masks, ks = _bits(left["mask"], words), _bits(right["mask"], words), [], []
+        same = left["k"].iloc[0] == right["k"].iloc[0] if len(left) and len(right) else False
+        for x, k, y, others in ((a, left["k"].tolist(), b, right["k"].to_numpy()), *(() if same else ((b, right["k"].tolist(), a, left["k"].to_numpy()),))):
+            for i, own in enumerate(k):
+                both = (x[i] & y)[others != own]
+                both = both[np.bitwise_count(both).sum(axis=1) >= least_items]
+                if len(both):
+                    both = np.unique(both[:, 0])[:, None] if words == 1 else np.unique(both, axis=0)
+                    masks.append(both.view(np.int64))
+                    ks += [own] * len(both)
+        rows = np.concatenate(masks).tolist() if masks else []
+        return pd.DataFrame({"k": pd.Series(ks, dtype="int64"), "mask": pd.Series(rows, dtype=object)})
+
+    pairs = _in_blocks(coded.drop("members"), "k", met, "k long, mask array<long>")
+    every = pairs.union(coded.filter("members > 1").select("k", "mask")).distinct()
+    found = cut(every.join(coded.select("k", "members"), "k").groupBy("mask").agg(F.sum("members").cast("long").alias("functions")).filter(F.col("functions") >= least_functions))
+
+    def inside(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b, out = _bits(left["mask"], words), _bits(right["mask"], words), []
+        for x, y, own in ((a, b, left["mask"]), (b, a, right["mask"])):
+            size = np.bitwise_count(y).sum(axis=1)
+            for i, mask in enumerate(own):
+                if ((x[i] & y == x[i]).all(axis=1) & (size > np.bitwise_count(x[i]).sum())).any():
+                    out.append(list(mask))
+        return pd.DataFrame({"mask": pd.Series(out, dtype=object)})
+
+    most = found.join(_in_blocks(found.select("mask"), "mask", inside, "mask array<long>").distinct(), "mask", "left_anti")
+    set_bit = lambda i: F.call_function("shiftright", F.col("mask")[i // 64], F.lit(i % 64)).bitwiseAND(F.lit(1).cast("long")) == 1
+    items = F.array_compact(F.array(*[F.when(set_bit(i), F.lit(n)) for i, n in enumerate(names)])) if names else F.array().cast("array<string>")
+    return most.select(items.alias("items"), "functions")
 
 
 def meaningful(sets: DataFrame, set_col: str, placeholders: list[str] = PLACEHOLDERS) -> DataFrame:

@@ -60,22 +60,24 @@ def deletion_groups(units: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def apply_edits(edits: DataFrame, sources: DataFrame) -> DataFrame:
     """`path, text, applied, skipped`: edits (`path, start, end, replacement`, characters) applied to each file (`path, text`) from
-    the bottom up; one that overlaps an applied edit or lies outside is skipped."""
-    kind = "path string, text string, applied int, skipped int"
-
-    def run(es: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for path, text in files[["path", "text"]].itertuples(index=False):
-            floor, done, skipped = len(text), 0, 0
-            for a, b, new in es.sort_values(["start", "end"], ascending=False, kind="stable")[["start", "end", "replacement"]].itertuples(index=False):
-                if a < 0 or b < a or b > floor:
-                    skipped += 1
-                    continue
-                text, floor, done = text[:a] + new + text[b:], a, done + 1
-            out.append((path, text, done, skipped))
-        return pd.DataFrame(out, columns=["path", "text", "applied", "skipped"])
-
-    return edits.groupBy("path").cogroup(sources.groupBy("path")).applyInPandas(run, kind)
+    the bottom up; one that overlaps an applied edit or lies outside is skipped. A file without edits stays as it is."""
+    own = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement")), asc=False).alias("edits"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, text, todo in pdf[["path", "text", "edits"]].itertuples(index=False):
+                floor, done, skipped = len(text), 0, 0
+                for e in todo if todo is not None else ():
+                    a, b = e["start"], e["end"]
+                    if a < 0 or b < a or b > floor:
+                        skipped += 1
+                        continue
+                    text, floor, done = text[:a] + e["replacement"] + text[b:], a, done + 1
+                out.append((path, text, done, skipped))
+            yield pd.DataFrame(out, columns=["path", "text", "applied", "skipped"])
+
+    return sources.select("path", "text").join(own, "path", "left").mapInPandas(run, "path string, text string, applied int, skipped int")
 
 
 def dry_run(old: str, new: str, path: str) -> str:

@@ -241,3 +241,28 @@ def test_deletion_after_the_end(spark):
     f = spark.createDataFrame([("k", "f", 10, 20)], "p string, item string, start int, end int")
     lines = spark.createDataFrame([("k", i, kind, at) for i, (kind, at) in enumerate([("added", 20), ("added", 21), ("deleted", 21), ("deleted", 22), ("context", 15), ("deleted", 10), ("added", 9)])], "p string, line int, kind string, at int")
     assert sorted(r.range for r in records.diff_in_functions(f, lines, "p", 4).collect()) == [0, 2, 5]
+
+
+@pytest.mark.parametrize("universe", [6, 70])
+def test_clumps_by_brute_force(spark, universe, monkeypatch):
+    from factloom.operators import groups
+
+    rng = random.Random(universe)
+    common = [f"i{k:03d}" for k in range(6)]
+    functions = {f: frozenset(x for x in common if rng.random() < 0.6) | {f"i{rng.randrange(universe):03d}"} for f in range(40)}
+    functions |= {100: functions[0], 101: functions[0]}
+    if universe > 64:
+        functions |= {200 + k: frozenset({f"i{k:03d}", f"j{k:03d}", "z"}) for k in range(70)}
+    sets = {f: s for f, s in functions.items() if len(s) >= 2}
+    support = {}
+    for f, g in itertools.combinations(sets, 2):
+        if len(sets[f] & sets[g]) >= 2:
+            support.setdefault(sets[f] & sets[g], set()).update((f, g))
+    enough = {s: len(v) for s, v in support.items() if len(v) >= 3}
+    want = {("|".join(sorted(s)), n) for s, n in enough.items() if not any(s < t for t in enough)}
+    rows = spark.createDataFrame([(f, x) for f, s in functions.items() for x in s], "f int, x string")
+    for block, dense in ((4096, 1024), (16, 1024), (4096, 0)):
+        monkeypatch.setattr(groups, "BLOCK", block)
+        monkeypatch.setattr(groups, "DENSE", dense)
+        got = {("|".join(r["items"]), r.functions) for r in groups.data_clumps(rows, "f", "x").collect()}
+        assert got == want and want
