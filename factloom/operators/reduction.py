@@ -1,4 +1,4 @@
-"""Operators whose steps depend on each other: reducers, edits, treemap, anti-unification (X2, X3, X6-X8, V5, P23). They work on one text or list."""
+"""Operators whose steps depend on each other: reducers, edits, treemap, anti-unification (S3, X2, X3, X6-X8, V5, P23, 2.10). They work on one text or list."""
 
 from __future__ import annotations
 
@@ -10,13 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reduce_lines(text: str, fails: Callable[[str], bool]) -> tuple[str, int]:
+class Tail:
+    """The last `most` bytes of what is written."""
+
+    def __init__(self, most: int = 16 << 10):
+        self.most, self.held = most, b""
+
+    def write(self, data: bytes) -> int:
+        self.held = (self.held + data)[-self.most :] if self.most else b""
+        return len(data)
+
+
+def reduce_lines(text: str, fails: Callable[[str], bool], progress: Callable[[str, int], None] = lambda event, size: None) -> tuple[str, int]:
     """The smallest text found by removing runs of lines while `fails` stays true, and the number of checks.
 
+    progress is told `seed`, then `checking` before each check and `accepted` after each success, with the text's length.
+
     Runs start at half the lines; after a success the pass begins again at the first line with the same size; when no run of a
     size can go, the size is halved. A text that does not fail is returned as it is.
     """
     lines, checks = text.splitlines(keepends=True), 1
+    progress("seed", len(text))
     if not fails(text):
         return text, checks
     size = len(lines) // 2
@@ -25,8 +39,10 @@ def reduce_lines(text: str, fails: Callable[[str], bool]) -> tuple[str, int]:
         while at < len(lines):
             rest = lines[:at] + lines[at + size :]
             checks += 1
+            progress("checking", sum(map(len, rest)))
             if len(rest) < len(lines) and fails("".join(rest)):
                 lines, at = rest, 0
+                progress("accepted", sum(map(len, rest)))
             else:
                 at += size
         size //= 2

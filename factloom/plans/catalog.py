@@ -467,10 +467,13 @@ def components(spark, sf_dir):
     return graphs.components(_flow(spark, sf_dir, 180), "src", "dst")
 
 
-@query("fix_groups")
+@query("fix_groups", """
+WITH RECURSIVE v AS MATERIALIZED (SELECT s_suppkey AS id, s_acctbal < 500 AS callers FROM supplier WHERE s_acctbal < 3000), p AS MATERIALIZED (SELECT DISTINCT o_custkey AS caller, l_suppkey AS callee FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+feet AS MATERIALIZED (SELECT id, id AS node FROM v UNION SELECT id, 1000000000 + caller FROM v JOIN p ON callee = id WHERE callers),
+l AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM feet x JOIN feet y USING (node)), r(id, node) AS (SELECT id, id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.node)
+SELECT id, min(node) AS root FROM r GROUP BY id""")
 def fix_groups(spark, sf_dir):
-    """Suppliers of a balance below 3,000 break a rule, below 500 one that concerns their callers, the customers of all their lines.
-    Tested in Python: a recursive query over all lines takes too long."""
+    """Suppliers of a balance below 3,000 break a rule, below 500 one that concerns their callers, the customers of all their lines."""
     viol = read(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 500).alias("callers"))
     calls = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return callgraph.fix_groups(viol, calls.select((F.col("o_custkey") + 1000000000).alias("caller"), F.col("l_suppkey").alias("callee")).distinct())

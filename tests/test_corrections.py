@@ -266,3 +266,15 @@ def test_clumps_by_brute_force(spark, universe, monkeypatch):
         monkeypatch.setattr(groups, "DENSE", dense)
         got = {("|".join(r["items"]), r.functions) for r in groups.data_clumps(rows, "f", "x").collect()}
         assert got == want and want
+
+
+def test_progress_and_tail():
+    from factloom.operators import reduction
+
+    seen = []
+    text, checks = reduction.reduce_lines("a\nb\nc\nd\n", lambda t: "c" in t, lambda event, size: seen.append((event, size)))
+    assert text == "c\n" and seen[0] == ("seed", 8) and sum(e == "checking" for e, _ in seen) == checks - 1
+    assert [s for e, s in seen if e == "accepted"] == sorted((s for e, s in seen if e == "accepted"), reverse=True)
+    tail = reduction.Tail(5)
+    assert tail.write(b"abc") == 3 and tail.write(b"defg") == 4 and tail.held == b"cdefg"
+
