@@ -22,6 +22,8 @@ from .components import components
 from .simhash import BUCKET
 
 TABLES, KEPT, DISTANCE, SHORT = 64, 16, 36, 50
+#: The tables that name components before the others are built.
+FIRST = [0, 1, 2, 3]
 #: Shingles in a task that compares sets; a larger group of candidates is dealt out as pairs of parts.
 GROUP = 1 << 22
 
@@ -101,18 +103,24 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(fp[:, 0].copy().view(np.int64)), pa.array(fp[:, 1].copy().view(np.int64)), keys], ["id", "node", "fa", "fb", "keys"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each text: one a table, and one for each of a short text's smallest shingles."""
-    masks, salt = table_masks(), mixed(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for batch in batches:
-        for a in range(0, batch.num_rows, 1024):
-            part = batch.slice(a, 1024)
-            node, fa, fb = (np.asarray(part.column(i)) for i in range(3))
-            key = mixed(mixed((fa.view(np.uint64)[:, None] & masks[:, 0]) ^ salt) ^ (fb.view(np.uint64)[:, None] & masks[:, 1])).ravel()
-            lists = part.column(3)
-            at = np.concatenate([np.repeat(np.arange(len(node)), TABLES), np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))])
-            key = np.concatenate([key.view(np.int64), np.asarray(lists.flatten())])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(fa[at]), pa.array(fb[at])], ["key", "node", "fa", "fb"])
+def _keyed(tables: list[int], short: bool):
+    """The rows of each text: one for each of the tables and, if `short`, one for each of a short text's smallest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks, salt = table_masks()[tables], mixed((np.array(tables, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                node, fa, fb = (np.asarray(part.column(i)) for i in range(3))
+                key = mixed(mixed((fa.view(np.uint64)[:, None] & masks[:, 0]) ^ salt) ^ (fb.view(np.uint64)[:, None] & masks[:, 1])).ravel().view(np.int64)
+                at = np.repeat(np.arange(len(node)), len(tables))
+                if short:
+                    lists = part.column(3)
+                    at = np.concatenate([at, np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))])
+                    key = np.concatenate([key, np.asarray(lists.flatten())])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(fa[at]), pa.array(fb[at])], ["key", "node", "fa", "fb"])
+
+    return run
 
 
 def close(node: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
@@ -191,13 +199,26 @@ def _candidates(most: int):
 def candidate_links(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
     """`a, b`: links that connect what shares a key and is within DISTANCE bits. nodes: one row a text, `node, fa, fb, keys`.
 
-    Texts of a key come in order, so the hub of what is alike is its least text, in all tables that hold it: the same link found in
+    The tables of FIRST come first. Each text then bears the name of its component so far, and the other tables only link
+    different components: a text of a large group has about as many links as FIRST has tables, not one for each table.
+    """
+    first = _met(nodes.select("node", "fa", "fb", "keys"), FIRST, False, most)
+    so_far = components(first)
+    named = nodes.join(so_far, "node", "left").select(F.coalesce("root", "node").alias("node"), "fa", "fb", "keys")
+    rest = _met(named, [t for t in range(TABLES) if t not in FIRST], True, most)
+    return so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest).filter("a != b")
+
+
+def _met(nodes: DataFrame, tables: list[int], short: bool, most: int) -> DataFrame:
+    """`a, b`: links that connect the names of what shares a key of these tables and is within DISTANCE bits.
+
+    Texts of a key come in order, so the hub of what is alike is its least name, in all tables that hold it: the same link found in
     many tables is one. Keys with more than `most` texts are dealt into parts of about most / 2, and each pair of parts is a task.
     """
-    rows = nodes.select("node", "fa", "fb", "keys").mapInArrow(trimmed(_keyed), "key long, node long, fa long, fb long")
+    rows = nodes.mapInArrow(trimmed(_keyed(tables, short)), "key long, node long, fa long, fb long")
     schema = "key long, a long, b long, fa long, fb long"
     found = store(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_candidates(most)), schema), "shingled-links")
-    links, large = found.filter("b is not null").select("a", "b"), found.filter("b is null").drop("b")
+    links, large = found.filter("b is not null and a != b").select("a", "b"), found.filter("b is null").drop("b")
     if large.isEmpty():
         return links.distinct()
     sizes = large.groupBy("key").count().withColumn("parts", F.ceil(F.col("count") * 2 / F.lit(most)).cast("int"))

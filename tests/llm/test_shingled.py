@@ -70,3 +70,23 @@ def test_pipeline_stage_takes_similarity(spark):
 def test_smallest_shingles_suffice():
     for n in range(1, shingled.SHORT + 1):
         assert shingled.least_shared(n) > n - np.ceil(0.8 * n)
+
+
+def flipped(rng, print_, n):
+    bits = np.unpackbits(print_.view(np.uint8))
+    bits[rng.choice(128, n, replace=False)] ^= 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def as_nodes(spark, prints, n_shingles=200):
+    rows = [(i, int(a), int(b), [], n_shingles) for i, (a, b) in enumerate(np.array(prints).view(np.int64).tolist())]
+    return spark.createDataFrame(rows, "node long, fa long, fb long, keys array<long>, n int")
+
+
+def test_large_group_of_near_copies_has_few_links(spark):
+    """Copies of one text, each with other edits, meet in many tables under many least texts; most of these links are needless."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+    links = shingled.candidate_links(as_nodes(spark, [flipped(rng, base, 12) for _ in range(400)])).collect()
+    assert len({r.a for r in links} | {r.b for r in links}) == 400
+    assert len(links) <= 4 * 400
