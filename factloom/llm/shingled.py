@@ -3,8 +3,8 @@
 A text is the set of its runs of five words. Its fingerprint has 128 bits, one SimHash over the distinct shingles. Each of 64
 tables keeps 16 fixed bits: at Jaccard 0.8 two fingerprints differ in about 15 % of the bits and share a key in some table with
 probability 0.99. Fingerprints of few shingles differ more; texts of up to SHORT shingles also meet by their smallest
-shingles, of which a pair at 0.8 must share one. What meets within 36 bits is a candidate; the texts of each group of candidates
-are compared shingle by shingle.
+shingles, of which a pair at 0.8 must share one. What meets within 36 bits is a candidate, unless one text has under 0.8 of the
+other's shingles, as no pair at 0.8 has; the texts of each group of candidates are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ TABLES, KEPT, DISTANCE, SHORT = 64, 16, 36, 50
 FIRST = [0, 1, 2, 3]
 #: Shingles in a task that compares sets; a larger group of candidates is dealt out as pairs of parts.
 GROUP = 1 << 22
+#: Keys of up to so many texts are compared row against row for many keys at once, larger ones text by text.
+SCAN = 256
 
 
 def text_shingles(column: pa.Array, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             few = np.array([least_shared(k) for k in np.diff(off).tolist()], np.int64)
             ends = np.append(0, np.cumsum(few)).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[ragged(off[:-1], few)].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(fp[:, 0].copy().view(np.int64)), pa.array(fp[:, 1].copy().view(np.int64)), keys], ["id", "node", "fa", "fb", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(fp[:, 0].copy().view(np.int64)), pa.array(fp[:, 1].copy().view(np.int64)), keys, pa.array(np.diff(off), pa.int32())], ["id", "node", "fa", "fb", "keys", "n"])
 
 
 def _keyed(tables: list[int], short: bool):
@@ -118,52 +120,75 @@ def _keyed(tables: list[int], short: bool):
                     lists = part.column(3)
                     at = np.concatenate([at, np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))])
                     key = np.concatenate([key, np.asarray(lists.flatten())])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(fa[at]), pa.array(fb[at])], ["key", "node", "fa", "fb"])
+                n = np.asarray(part.column(4))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(fa[at]), pa.array(fb[at]), pa.array(n[at])], ["key", "node", "fa", "fb", "n"])
 
     return run
 
 
-def close(node: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the graph that links what is within DISTANCE bits; never all pairs."""
+def alike(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether fingerprints x of n shingles and y of m may be near-duplicates."""
+    return (np.bitwise_count(x ^ y).sum(axis=-1) <= DISTANCE) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+
+
+def close(node: np.ndarray, fps: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the graph that links what is alike; never all pairs."""
     left, right = [], []
     while len(node) > 1:
-        queue, node, fps = [(int(node[0]), fps[0])], node[1:], fps[1:]
+        queue, node, fps, n = [(int(node[0]), fps[0], n[0])], node[1:], fps[1:], n[1:]
         while queue and len(node):
-            one, fp = queue.pop()
-            near = np.bitwise_count(fps ^ fp).sum(axis=1) <= DISTANCE
+            one, fp, m = queue.pop()
+            near = alike(fps, n, fp, m)
             if near.any():
                 found = node[near].tolist()
                 left += [one] * len(found)
                 right += found
-                queue += list(zip(found, fps[near]))
-                node, fps = node[~near], fps[~near]
+                queue += list(zip(found, fps[near], n[near]))
+                node, fps, n = node[~near], fps[~near], n[~near]
     return left, right
 
 
+def scanned(ends: np.ndarray, node: np.ndarray, fps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one key that are alike and bear different names, a step for each distance between two rows. ends: where
+    the key of each row ends, or 0 for a row that is left out."""
+    live, step, left, right = np.flatnonzero(ends), 1, [], []
+    while len(live := live[live + step < ends[live]]):
+        other = live + step
+        near = live[alike(fps[live], n[live], fps[other], n[other]) & (node[live] != node[other])]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (live, live)
+
+
 def _candidates(most: int):
     """Rows sorted by key to links (a, b), or, of keys with more than `most` texts, to their rows, with b null."""
 
-    def out(key, a, b, fa, fb) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(fa, pa.int64()), pa.array(fb, pa.int64())], ["key", "a", "b", "fa", "fb"])
+    def out(key, a, b, fa, fb, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(n, pa.int64())], ["key", "a", "b", "fa", "fb", "n"])
 
-    def solve(key, node, fps):
+    def solve(key, node, fps, n):
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(cut, len(key)))
-        two = cut[size == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= DISTANCE
-        left, right = node[two[near]].tolist(), node[two[near] + 1].tolist()
-        for c, n in zip(cut[(size > 2) & (size <= most)].tolist(), size[(size > 2) & (size <= most)].tolist()):
-            a, b = close(node[c : c + n], fps[c : c + n])
+        few = size <= min(SCAN, most)
+        i, j = scanned(np.repeat((cut + size) * few, size), node, fps, n)
+        of = np.repeat(np.arange(len(cut)), size)
+        one = np.bincount(of[i], minlength=len(cut)) == 1
+        left, right = node[i[one[of[i]]]].tolist(), node[j[one[of[i]]]].tolist()
+        met = np.unique(np.concatenate([i, j]))
+        met = met[~one[of[met]]]  # the rows of keys with several pairs; all others of these keys are alone
+        for rows in [*np.split(met, np.flatnonzero(np.diff(of[met])) + 1), *(np.arange(c, c + k) for c, k in zip(cut[~few].tolist(), size[~few].tolist()) if k <= most)]:
+            a, b = close(node[rows], fps[rows], n[rows])
             left += a
             right += b
         zero = np.zeros(len(left), np.int64)
-        yield out(zero, left, pa.array(right, pa.int64()), zero, zero)
-        for c, n in zip(cut[size > most].tolist(), size[size > most].tolist()):
-            yield large(key[c : c + n], node[c : c + n], fps[c : c + n])
+        yield out(zero, left, pa.array(right, pa.int64()), zero, zero, zero)
+        for c, k in zip(cut[size > most].tolist(), size[size > most].tolist()):
+            yield large(key[c : c + k], node[c : c + k], fps[c : c + k], n[c : c + k])
 
-    def large(key, node, fps) -> pa.RecordBatch:
+    def large(key, node, fps, n) -> pa.RecordBatch:
         signed = fps.view(np.int64)
-        return out(key, node, pa.nulls(len(key), pa.int64()), signed[:, 0].copy(), signed[:, 1].copy())
+        return out(key, node, pa.nulls(len(key), pa.int64()), signed[:, 0].copy(), signed[:, 1].copy(), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, spilled = None, None  # the rows of a key that may go on; the key that has been given up as too large
@@ -172,20 +197,21 @@ def _candidates(most: int):
                 continue
             key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             fps = np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))], axis=1).view(np.uint64)
+            n = np.asarray(batch.column(4)).astype(np.int64)
             if spilled is not None:
                 same = key == spilled
                 if same.any():
-                    yield large(key[same], node[same], fps[same])
-                    key, node, fps = key[~same], node[~same], fps[~same]
+                    yield large(key[same], node[same], fps[same], n[same])
+                    key, node, fps, n = key[~same], node[~same], fps[~same], n[~same]
                 if not len(key):
                     continue
                 spilled = None
             if held is not None:
-                key, node, fps = (np.concatenate(x) for x in zip(held, (key, node, fps)))
+                key, node, fps, n = (np.concatenate(x) for x in zip(held, (key, node, fps, n)))
             done = int(np.searchsorted(key, key[-1]))
             if done:
-                yield from solve(key[:done], node[:done], fps[:done])
-            held = key[done:], node[done:], fps[done:]
+                yield from solve(key[:done], node[:done], fps[:done], n[:done])
+            held = key[done:], node[done:], fps[done:], n[done:]
             if len(held[0]) > most:
                 spilled = held[0][0]
                 yield large(*held)
@@ -197,49 +223,67 @@ def _candidates(most: int):
 
 
 def candidate_links(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
-    """`a, b`: links that connect what shares a key and is within DISTANCE bits. nodes: one row a text, `node, fa, fb, keys`.
+    """`a, b`: links that connect what shares a key and is alike. nodes: one row a text, `node, fa, fb, keys,
+    n`, n the number of its shingles.
 
     The tables of FIRST come first. Each text then bears the name of its component so far, and the other tables only link
     different components: a text of a large group has about as many links as FIRST has tables, not one for each table.
     """
-    first = _met(nodes.select("node", "fa", "fb", "keys"), FIRST, False, most)
+    first = _met(nodes.select("node", "fa", "fb", "keys", "n"), FIRST, False, most)
     so_far = components(first)
-    named = nodes.join(so_far, "node", "left").select(F.coalesce("root", "node").alias("node"), "fa", "fb", "keys")
+    named = nodes.join(so_far, "node", "left").select(F.coalesce("root", "node").alias("node"), "fa", "fb", "keys", "n")
     rest = _met(named, [t for t in range(TABLES) if t not in FIRST], True, most)
     return so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest).filter("a != b")
 
 
 def _met(nodes: DataFrame, tables: list[int], short: bool, most: int) -> DataFrame:
-    """`a, b`: links that connect the names of what shares a key of these tables and is within DISTANCE bits.
+    """`a, b`: links that connect the names of what shares a key of these tables and is alike.
 
     Texts of a key come in order, so the hub of what is alike is its least name, in all tables that hold it: the same link found in
     many tables is one. Keys with more than `most` texts are dealt into parts of about most / 2, and each pair of parts is a task.
     """
-    rows = nodes.mapInArrow(trimmed(_keyed(tables, short)), "key long, node long, fa long, fb long")
-    schema = "key long, a long, b long, fa long, fb long"
+    rows = nodes.mapInArrow(trimmed(_keyed(tables, short)), "key long, node long, fa long, fb long, n int")
+    schema = "key long, a long, b long, fa long, fb long, n long"
     found = store(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_candidates(most)), schema), "shingled-links")
     links, large = found.filter("b is not null and a != b").select("a", "b"), found.filter("b is null").drop("b")
     if large.isEmpty():
         return links.distinct()
     sizes = large.groupBy("key").count().withColumn("parts", F.ceil(F.col("count") * 2 / F.lit(most)).cast("int"))
     dealt = large.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "a", "fa", "fb")
+    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "a", "fa", "fb", "n")
 
     def solve(pdf):
         pdf = pdf.sort_values("a", kind="stable")
-        left, right = close(pdf["a"].to_numpy(), pdf[["fa", "fb"]].to_numpy(np.int64).view(np.uint64))
+        left, right = close(pdf["a"].to_numpy(), pdf[["fa", "fb"]].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy())
         return pdf.iloc[:0][["a"]].assign(b=[]) if not left else type(pdf)({"a": left, "b": right})
 
     return links.distinct().union(dealt.groupBy("key", "lo", "hi").applyInPandas(solve, "a long, b long"))
 
 
+def sharing(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which sets may be similar to another: of the rarest members, all but those that may differ and one, one is in those of another."""
+    rare = np.bincount(flat)[flat]
+    order = np.lexsort((flat, rare, at))
+    begin = np.cumsum(size) - size
+    kept = order[np.arange(len(flat)) - begin[at] <= (size - (4 * size + 4) // 5)[at]]
+    common = np.bincount(flat[kept])[flat[kept]] > 1
+    out = np.zeros(len(size), bool)
+    out[at[kept[common]]] = True
+    return out
+
+
 def similar(node: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """A spanning forest of the graph that links sets of Jaccard similarity 0.8 or more, counted exactly."""
     left, right = [], []
     size = np.array([len(s) for s in sets], np.int64)
     vocab, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.repeat(np.arange(len(node)), size)
+    some = sharing(flat, at, size)
+    if not some.all():  # the others are similar to none
+        node, size, flat = node[some], size[some], flat[some[at]]
+        at = np.repeat(np.arange(len(node)), size)
     own = np.split(flat, np.cumsum(size)[:-1])
-    mark, at = np.zeros(len(vocab), bool), np.repeat(np.arange(len(node)), size)
+    mark = np.zeros(len(vocab), bool)
     rest = np.ones(len(node), bool)
     for seed in range(len(node)):
         if not rest[seed]:
@@ -297,8 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity 0.8 or more. Texts of equal words are one before any table is built; so are all texts without words."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     kind = source.schema["id"].dataType.simpleString()
-    prints = store(source.mapInArrow(trimmed(_prints), f"id {kind}, node long, fa long, fb long, keys array<long>"), "shingled-prints")
-    nodes = store(prints.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct("fa", "fb", "keys")).alias("p")).select("node", "rep", "p.*"), "shingled-nodes")
+    prints = store(source.mapInArrow(trimmed(_prints), f"id {kind}, node long, fa long, fb long, keys array<long>, n int"), "shingled-prints")
+    nodes = store(prints.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct("fa", "fb", "keys", "n")).alias("p")).select("node", "rep", "p.*"), "shingled-nodes")
     met = components(candidate_links(nodes, most))
     wanted = nodes.join(met, "node").select("rep", "node", "root")
     texts = source.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "node", "root")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import shingled
@@ -90,3 +91,69 @@ def test_large_group_of_near_copies_has_few_links(spark):
     links = shingled.candidate_links(as_nodes(spark, [flipped(rng, base, 12) for _ in range(400)])).collect()
     assert len({r.a for r in links} | {r.b for r in links}) == 400
     assert len(links) <= 4 * 400
+
+
+def rows_of(key, node, fps, n):
+    signed = np.ascontiguousarray(fps).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(n, pa.int32())], ["key", "node", "fa", "fb", "n"])
+
+
+def test_unrelated_texts_of_a_key_cost_no_step_each(monkeypatch):
+    """At 6 GB a key of 16 bits has about 40 unrelated texts; only those that are alike may be gone through one by one."""
+    rng = np.random.default_rng(4)
+    keys, each = 200, 40
+    fps = rng.integers(0, 1 << 63, (keys * each, 2), dtype=np.uint64)
+    for k in range(0, keys, 2):  # a pair in one key, four of a kind in the next but one
+        for j in range(1, 2 if k % 4 else 4):
+            fps[k * each + 10 * j] = flipped(rng, fps[k * each], 10)
+    gone, plain = [], shingled.close
+    monkeypatch.setattr(shingled, "close", lambda node, *rest: gone.append(len(node)) or plain(node, *rest))
+    key, node = np.repeat(np.arange(keys), each), np.arange(keys * each)
+    batch = rows_of(key, node, fps, np.full(len(key), 100))
+    out = pa.Table.from_batches(list(shingled._candidates(1000)(iter([batch.slice(0, 3333), batch.slice(3333)])))).to_pylist()
+    found = {frozenset((r["a"], r["b"])) for r in out}
+    want = {frozenset((k * each, k * each + 10 * j)) for k in range(0, keys, 2) for j in range(1, 2 if k % 4 else 4)}
+    assert found == want and len(out) == len(want)
+    assert sum(gone) <= 4 * keys / 4
+
+
+def test_sizes_bound_candidates():
+    """No pair at 0.8 has a text with under 0.8 of the other's shingles, however near the fingerprints are."""
+    fps = np.zeros((3, 2), np.uint64)
+    batch = rows_of(np.zeros(3, np.int64), np.arange(3), fps, np.array([100, 80, 79]))
+    out = pa.Table.from_batches(list(shingled._candidates(1000)(iter([batch])))).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in out) == [(0, 1), (1, 2)]
+
+
+def test_larger_keys_give_the_same_components(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    fps = np.array([flipped(rng, base[i % 60], int(rng.integers(0, 25))) for i in range(240)])
+    key, n = np.sort(rng.integers(0, 4, 240)), rng.integers(80, 120, 240)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= shingled.DISTANCE) & (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n)) & (key[:, None] == key)
+    for scan in (256, 10):
+        monkeypatch.setattr(shingled, "SCAN", scan)
+        out = pa.Table.from_batches(list(shingled._candidates(1000)(iter([rows_of(key, np.arange(240), fps, n)])))).to_pylist()
+        assert all(near[r["a"], r["b"]] for r in out)
+        assert united(240, [(r["a"], r["b"]) for r in out]) == united(240, np.argwhere(near).tolist())
+
+
+def united(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def test_sets_that_share_no_rare_member_are_dropped_first():
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 40)])) for _ in range(50)]
+    sets += [np.unique(np.concatenate([sets[i][: -int(rng.integers(1, 12))], rng.integers(0, 1 << 60, 5)])) for i in range(20)]
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    pairs = [(i, j) for i in range(70) for j in range(i) if 5 * len(x := np.intersect1d(sets[i], sets[j])) >= 4 * (size[i] + size[j] - len(x))]
+    some = shingled.sharing(flat, np.repeat(np.arange(70), size), size)
+    assert pairs and {i for p in pairs for i in p} <= set(np.flatnonzero(some).tolist()) and some.sum() < 50
+    assert united(70, zip(*shingled.similar(np.arange(70), sets))) == united(70, pairs)
