@@ -1,10 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word shingles: SimHash proposes, exact sets decide.
 
-A text is the set of its runs of five words. Its fingerprint has 128 bits, one SimHash over the distinct shingles. Each of 64
-tables keeps 16 fixed bits: at Jaccard 0.8 two fingerprints differ in about 15 % of the bits and share a key in some table with
-probability 0.99. Fingerprints of few shingles differ more; texts of up to SHORT shingles also meet by their smallest
-shingles, of which a pair at 0.8 must share one. What meets within 36 bits is a candidate, unless one text has under 0.8 of the
-other's shingles, as no pair at 0.8 has; the texts of each group of candidates are compared shingle by shingle.
+A text is the set of its runs of five words. Its fingerprint has 128 bits, one SimHash over the distinct shingles, in BLOCKS blocks
+of 32. Each block has the covering tables of `simhash` for RADIUS bits. Of two fingerprints within REACH bits some block differs in
+at most RADIUS, so they share a key by construction; those farther apart share one where the differing bits happen to be covered.
+At Jaccard 0.8 about 15 % of the bits differ. Fingerprints of few shingles differ more; texts of up to SHORT shingles also meet by
+their smallest shingles, of which a pair at 0.8 must share one. What meets within 36 bits is a candidate, unless one text has under
+0.8 of the other's shingles, as no pair at 0.8 has; the texts of each group of candidates are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import Block, fresh, ragged, slices, store, trimmed
 from .components import components
-from .simhash import BUCKET
+from .simhash import BUCKET, covering_masks
 
-TABLES, KEPT, DISTANCE, SHORT = 64, 16, 36, 50
-#: The tables that name components before the others are built.
-FIRST = [0, 1, 2, 3]
+BLOCKS, RADIUS, DISTANCE, SHORT = 4, 4, 36, 50
+EACH = (1 << (RADIUS + 1)) - 1
+TABLES, REACH = BLOCKS * EACH, BLOCKS * (RADIUS + 1) - 1
+#: The tables that name components before the others are built: one of each block.
+FIRST = [b * EACH for b in range(BLOCKS)]
 #: Shingles in a task that compares sets; a larger group of candidates is dealt out as pairs of parts.
 GROUP = 1 << 22
 #: Keys of up to so many texts are compared row against row for many keys at once, larger ones text by text.
@@ -80,13 +83,11 @@ def simhashes(off: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.packbits((2 * counts > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def table_masks() -> np.ndarray:
-    """The bits that each table keeps, as two longs."""
-    rng = np.random.default_rng(7)
-    bits = np.zeros((TABLES, 128), np.uint8)
-    for row in bits:
-        row[rng.choice(128, KEPT, replace=False)] = 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+def table_keys(fps: np.ndarray, tables: list[int]) -> np.ndarray:
+    """The key of each fingerprint (two longs) in each of the tables: the table, and what its mask keeps of its block."""
+    masks = np.array(covering_masks(RADIUS, 32), np.uint64)
+    block, mask = np.divmod(np.array(tables, np.int64), len(masks))
+    return (np.array(tables, np.uint64) << np.uint64(32)) | (np.ascontiguousarray(fps).view(np.uint32)[:, block].astype(np.uint64) & masks[mask])
 
 
 def least_shared(n: int) -> int:
@@ -109,12 +110,11 @@ def _keyed(tables: list[int], short: bool):
     """The rows of each text: one for each of the tables and, if `short`, one for each of a short text's smallest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, salt = table_masks()[tables], mixed((np.array(tables, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 node, fa, fb = (np.asarray(part.column(i)) for i in range(3))
-                key = mixed(mixed((fa.view(np.uint64)[:, None] & masks[:, 0]) ^ salt) ^ (fb.view(np.uint64)[:, None] & masks[:, 1])).ravel().view(np.int64)
+                key = table_keys(np.stack([fa, fb], axis=1).view(np.uint64), tables).ravel().view(np.int64)
                 at = np.repeat(np.arange(len(node)), len(tables))
                 if short:
                     lists = part.column(3)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.llm import shingled
+from factloom.llm import shingled, simhash
 
 import corpus_pipeline
 
@@ -157,3 +157,21 @@ def test_sets_that_share_no_rare_member_are_dropped_first():
     some = shingled.sharing(flat, np.repeat(np.arange(70), size), size)
     assert pairs and {i for p in pairs for i in p} <= set(np.flatnonzero(some).tolist()) and some.sum() < 50
     assert united(70, zip(*shingled.similar(np.arange(70), sets))) == united(70, pairs)
+
+
+def test_tables_cover_the_radius(spark):
+    """Fingerprints within 19 of 128 bits share a key whatever the bits are: some block of 32 differs in at most 4."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
+    prints = np.concatenate([base, [flipped(rng, fp, 19) for fp in base]])
+    links = shingled.candidate_links(as_nodes(spark, prints)).collect()
+    root = united(800, [(r.a, r.b) for r in links])
+    assert all(root[i] == root[400 + i] for i in range(400))
+
+
+def test_keys_of_each_block_are_the_covering_ones():
+    fps = np.array([[0, 0], [(1 << 64) - 1, (1 << 64) - 1]], np.uint64)
+    keys = shingled.table_keys(fps, list(range(shingled.TABLES)))
+    assert shingled.REACH == 19 and keys.shape == (2, 4 * 31)
+    assert [int(k) & 0xFFFFFFFF for k in keys[1]] == 4 * simhash.covering_masks(4, 32)
+    assert [int(k) >> 32 for k in keys[0]] == list(range(4 * 31))
