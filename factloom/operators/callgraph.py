@@ -138,6 +138,7 @@ def helper_effects(functions: DataFrame, effects: DataFrame, calls: DataFrame, m
     The result of a cycle or a limit depends on the order of calls, so it can't be put together from its helpers' results.
     """
     kinds = dict(functions.dtypes)
+    calls = cut(calls.select("caller", "callee", *(["position"] if "position" in calls.columns else [])))
     place = F.col("position") if "position" in calls.columns else F.lit(0)
     edges = calls.select(F.lit(0).alias("g"), F.col("caller").alias("src"), F.col("callee").alias("dst"))
     reach = closure(edges, functions.select(F.lit(0).alias("g"), F.col("id").alias("seed")), max_hops=max_depth).select("seed", "node")
