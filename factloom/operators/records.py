@@ -101,6 +101,16 @@ def ordered_effects(effects: DataFrame, keys: list[str]) -> DataFrame:
     return effects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "kind", "detail"))).alias("effects"))
 
 
+def pairs_of_sets(rows: DataFrame, items_col: str, groups_col: str) -> DataFrame:
+    """`g, a, b, similarity`: for each group how many rows have both items, a < b. rows hold distinct items in order, and their groups as
+    distinct structs of one field `g`; a row with k groups counts k times in each, as a join of all its items and groups does."""
+    one = rows.select(F.col(items_col).alias("ts"), F.col(groups_col).alias("gs")).filter(F.size("ts") >= 2)
+    first = one.select("ts", "gs", F.posexplode("ts").alias("i", "a"))
+    both = first.filter("i < size(ts) - 1").select("gs", "a", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("b"))
+    counted = both.groupBy("gs", "a", "b").agg(F.count("*").alias("n"))
+    return counted.select(F.explode("gs").alias("g"), F.size("gs").alias("k"), "a", "b", "n").groupBy("g.g", "a", "b").agg(F.sum(F.col("k") * F.col("n")).alias("similarity"))
+
+
 def top_templates(pairs: DataFrame, group_col: str, most: int = 3) -> DataFrame:
     """`group, member, total, rank`: of each group the members most similar to the others in sum; of equal ones the first. pairs: `a, b,
     similarity`."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..operators import beliefs, callgraph, clones, gate, graphs, groups, intervals, policy, quality, records, similarity
+from ..operators.checkpoint import tasks_for
 from .catalog import _BELIEF, _DENSITY, _FLOW, _RULES, _densities, _flow, _nations, _sites, query, read
 
 # --- joins and counts of records -------------------------------------------------------------------------------------------
@@ -128,10 +129,13 @@ WITH w AS (SELECT DISTINCT o_orderpriority AS g, l_orderkey AS f, p_brand AS t F
 p AS (SELECT x.g, x.t AS a, y.t AS b, count(*) AS s FROM w x JOIN w y ON x.f = y.f AND x.t < y.t GROUP BY ALL), m AS (SELECT g, a AS member, s FROM p UNION ALL SELECT g, b, s FROM p)
 SELECT * FROM (SELECT g, member, CAST(sum(s) AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY g ORDER BY sum(s) DESC, member) AS INTEGER) AS rank FROM m GROUP BY g, member) WHERE rank <= 3""")
 def top_templates(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("t")), "l_partkey")
-    w = li.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("g")), "l_orderkey").select("g", "l_orderkey", "t").distinct()
-    p = w.alias("x").join(w.alias("y"), F.col("x.l_orderkey") == F.col("y.l_orderkey")).filter("x.t < y.t").groupBy(F.col("x.g").alias("g"), F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.count("*").alias("similarity"))
-    return records.top_templates(p, "g")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    n = tasks_for(li.count())
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("t"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.struct(F.col("o_orderpriority").alias("g")).alias("g"))
+    ts = li.repartition(n, "l_partkey").join(part, "l_partkey").select("l_orderkey", "t").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    gs = orders.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("g")).alias("gs"))
+    return records.top_templates(records.pairs_of_sets(ts.join(gs, "l_orderkey"), "ts", "gs"), "g")
 
 
 @query("usable_graphs", "SELECT user_id, count(*) FILTER (event_type = 'error') AS nodes FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0")
