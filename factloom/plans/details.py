@@ -381,8 +381,10 @@ _HUNKS = """(SELECT o_orderkey AS diff, 'a/' || o_orderstatus || '.go' AS path,
 
 def _diff(spark, sf_dir):
     """A diff for each order: a header, one hunk, and for each of its lines an added one, then a deleted one."""
-    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    o = read(spark, sf_dir, "orders").join(n, "o_orderkey").withColumn("at", (F.col("o_custkey") % 97 + 1).cast("int"))
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    tasks = tasks_for(li.count())
+    n = li.repartition(tasks, "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    o = read(spark, sf_dir, "orders").repartition(tasks, "o_orderkey").join(n, "o_orderkey").withColumn("at", (F.col("o_custkey") % 97 + 1).cast("int"))
     lines = F.concat(
         F.array(F.lit("--- a/x"), F.concat(F.lit("+++ b/a/"), F.col("o_orderstatus"), F.lit(".go")), F.format_string("@@ -%d,%d +%d,%d @@", F.col("at"), F.col("n"), F.col("at"), F.col("n"))),
         F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.array(F.concat(F.lit("+new "), i.cast("string")), F.concat(F.lit("-old "), i.cast("string"))))),

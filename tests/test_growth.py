@@ -1,12 +1,13 @@
 """What only shows on larger tables."""
 
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import rules
+from factloom.operators import records, rules
 from factloom.plans import catalog
 
 
@@ -55,3 +56,22 @@ def test_sets_of_arrays(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a", ""]), (2, None), (3, []), (4, ["c", None]), (4, ["c", "d"]), (None, ["e"]), (None, ["e"])], "k int, words array<string>")
     got = rules.array_sets(docs, "k", F.col("words")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a"), (1, "b"), (4, "c"), (4, "d"), (None, "e")]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+@pytest.mark.parametrize("name, most", [("diff_lines", 400_000), ("diff_ranges", 50_000)])
+def test_rows_of_a_task(spark, name, most):
+    """Tasks follow the table, not the default number of partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = catalog.QUERIES[name](spark, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(r["count"] for r in got) <= most
+
+
+def test_pairs_of_sets(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"], [("x",)]), (["a", "c"], [("x",), (None,)]), (["a"], [("x",)]), ([], [("y",)])], "ts array<string>, gs array<struct<g: string>>")
+    got = {tuple(r) for r in records.pairs_of_sets(rows, "ts", "gs").collect()}
+    assert got == {("x", "a", "b", 1), ("x", "b", "c", 1), ("x", "a", "c", 3), (None, "a", "c", 2)}
