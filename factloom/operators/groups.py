@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ CONCEPTS = [
 
 #: Items up to which sets are compared as bits, in blocks of this many sets.
 DENSE, BLOCK = 1024, 4096
+#: Numbers of a run of results that a task gives at once.
+EMIT = 1 << 18
 
 
 def data_clumps(params: DataFrame, function_col: str, item_col: str, least_items: int = 2, least_functions: int = 3, placeholders: list[str] | None = None) -> DataFrame:
@@ -85,21 +89,37 @@ def _sparse_clumps(classes: DataFrame, least_items: int, least_functions: int) -
     return without_subsets(cut(found), "items")
 
 
-def _bits(masks: pd.Series, words: int) -> np.ndarray:
-    return np.array(masks.tolist(), np.int64).reshape(len(masks), words).view(np.uint64)
-
-
-def _in_blocks(rows: DataFrame, key: str, solve, schema: str) -> DataFrame:
-    """rows, in parts of about BLOCK, of which each pair is a task: solve(left, right) of two parts, left before or the same as right."""
+def _in_blocks(rows: DataFrame, key: str, words: int, solve) -> DataFrame:
+    """`k, mask`: rows (`k, mask`) in parts of about BLOCK, of which each pair is a task. solve(left, right, same) of two parts, left
+    before or the same as right, gives runs of `k` and masks; parts and runs are arrays, masks of `words` numbers a row."""
     parts = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.withColumn("i", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.select("k", "mask", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = dealt.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("j")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        return solve(pdf[pdf["i"] == lo], pdf[pdf["i"] == hi])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        lo, hi, i, k = held["lo"][0].as_py(), held["hi"][0].as_py(), held["i"].to_numpy(), held["k"].to_numpy()
+        masks = np.concatenate([np.asarray(c.flatten()) for c in held["mask"].chunks]).reshape(-1, words).view(np.uint64)
+        of = lambda p: (k[i == p], masks[i == p])
+        for own, found in _runs(solve(of(lo), of(hi), lo == hi)):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(np.ascontiguousarray(found).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), lists], ["k", "mask"])
+
+    # More parts than groups, so that few groups meet in one.
+    return dealt.repartition(min(1000, 2 * parts * (parts + 1)), "lo", "hi").groupBy("lo", "hi").applyInArrow(run, "k long, mask array<long>")
+
 
-    return dealt.groupBy("lo", "hi").applyInPandas(run, schema)
+def _runs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Short runs joined to ones of at least EMIT numbers: a task holds no more of its result."""
+    held, size = [], 0
+    for run in found:
+        held.append(run)
+        size += run[1].size
+        if size >= EMIT:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def _dense_clumps(classes: DataFrame, names: list[str], least_items: int, least_functions: int) -> DataFrame:
@@ -108,34 +128,27 @@ def _dense_clumps(classes: DataFrame, names: list[str], least_items: int, least_
     word = lambda w: F.aggregate(F.filter(F.transform("items", lambda x: places[x]), lambda p: F.floor(p / 64) == w), F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)))
     coded = cut(classes.select("k", "members", F.array(*[word(w) for w in range(words)]).alias("mask")))
 
-    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b, masks, ks = _bits(left["mask"], words), _bits(right["mask"], words), [], []
-        same = left["k"].iloc[0] == right["k"].iloc[0] if len(left) and len(right) else False
-        for x, k, y, others in ((a, left["k"].tolist(), b, right["k"].to_numpy()), *(() if same else ((b, right["k"].tolist(), a, left["k"].to_numpy()),))):
+    def met(left: tuple, right: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for (k, x), (others, y) in ((left, right), *(() if same else ((right, left),))):
             for i, own in enumerate(k):
                 both = (x[i] & y)[others != own]
                 both = both[np.bitwise_count(both).sum(axis=1) >= least_items]
                 if len(both):
                     both = np.unique(both[:, 0])[:, None] if words == 1 else np.unique(both, axis=0)
-                    masks.append(both.view(np.int64))
-                    ks += [own] * len(both)
-        rows = np.concatenate(masks).tolist() if masks else []
-        return pd.DataFrame({"k": pd.Series(ks, dtype="int64"), "mask": pd.Series(rows, dtype=object)})
+                    yield np.full(len(both), own), both
 
-    pairs = _in_blocks(coded.drop("members"), "k", met, "k long, mask array<long>")
+    pairs = _in_blocks(coded.drop("members"), "k", words, met)
     every = pairs.union(coded.filter("members > 1").select("k", "mask")).distinct()
     found = cut(every.join(coded.select("k", "members"), "k").groupBy("mask").agg(F.sum("members").cast("long").alias("functions")).filter(F.col("functions") >= least_functions))
 
-    def inside(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b, out = _bits(left["mask"], words), _bits(right["mask"], words), []
-        for x, y, own in ((a, b, left["mask"]), (b, a, right["mask"])):
+    def inside(left: tuple, right: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for (k, x), (_, y) in ((left, right), *(() if same else ((right, left),))):
             size = np.bitwise_count(y).sum(axis=1)
-            for i, mask in enumerate(own):
+            for i in range(len(x)):
                 if ((x[i] & y == x[i]).all(axis=1) & (size > np.bitwise_count(x[i]).sum())).any():
-                    out.append(list(mask))
-        return pd.DataFrame({"mask": pd.Series(out, dtype=object)})
+                    yield k[i : i + 1], x[i : i + 1]
 
-    most = found.join(_in_blocks(found.select("mask"), "mask", inside, "mask array<long>").distinct(), "mask", "left_anti")
+    most = found.join(_in_blocks(found.select(F.lit(0).cast("long").alias("k"), "mask"), "mask", words, inside).select("mask").distinct(), "mask", "left_anti")
     set_bit = lambda i: F.call_function("shiftright", F.col("mask")[i // 64], F.lit(i % 64)).bitwiseAND(F.lit(1).cast("long")) == 1
     items = F.array_compact(F.array(*[F.when(set_bit(i), F.lit(n)) for i, n in enumerate(names)])) if names else F.array().cast("array<string>")
     return most.select(items.alias("items"), "functions")

@@ -4,10 +4,11 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import records, rules
+from factloom.operators import groups, records, rules
 from factloom.plans import catalog
 
 
@@ -75,3 +76,13 @@ def test_pairs_of_sets(spark):
     rows = spark.createDataFrame([(["a", "b", "c"], [("x",)]), (["a", "c"], [("x",), (None,)]), (["a"], [("x",)]), ([], [("y",)])], "ts array<string>, gs array<struct<g: string>>")
     got = {tuple(r) for r in records.pairs_of_sets(rows, "ts", "gs").collect()}
     assert got == {("x", "a", "b", 1), ("x", "b", "c", 1), ("x", "a", "c", 3), (None, "a", "c", 2)}
+
+
+def test_clumps_give_runs(monkeypatch):
+    """What two blocks have in common goes out in runs of bounded length, not as one list of lists."""
+    short = [(np.full(n, n), np.full((n, 2), n, np.uint64)) for n in range(1, 40)]
+    monkeypatch.setattr(groups, "EMIT", 100)
+    runs = list(groups._runs(iter(short)))
+    assert len(runs) > 10 and all(len(k) == len(m) and m.size < 100 + 80 for k, m in runs)
+    for part in (0, 1):
+        assert np.array_equal(np.concatenate([r[part] for r in runs]), np.concatenate([r[part] for r in short]))
